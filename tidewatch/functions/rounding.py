@@ -6,21 +6,19 @@ rounding depends on the engine. Micro-units summed as integers do not.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 MICRO = 1_000_000
 
 
-def micros(value: Column) -> Column:
-    return F.round(value * MICRO).cast("long")
+def micros(value: str) -> str:
+    return f"CAST(round({value} * {MICRO}) AS BIGINT)"
 
 
-def floor_div(a: Column, b: Column) -> Column:
-    return F.call_function("div", a - F.pmod(a, b), b)
+def floor_div(a: str, b: str) -> str:
+    """Division towards minus infinity; ``b`` is positive."""
+    return f"(({a}) - pmod({a}, {b})) DIV ({b})"
 
 
-def mean_hundredths(total_micros: Column, count: Column) -> Column:
-    """Half-up hundredths of ``total / count``, as a long."""
-    step = count * (MICRO // 100)
-    return floor_div(total_micros * 2 + step, step * 2)
+def mean_hundredths(total_micros: str, count: str) -> str:
+    """Half-up hundredths of ``total / count``, as a bigint."""
+    step = f"{count} * {MICRO // 100}"
+    return floor_div(f"2 * {total_micros} + {step}", f"2 * {step}")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Display names of the parameters and of the severities.
 PARAMETER_LABELS = {
     "ph": "pH",
@@ -16,28 +13,24 @@ PARAMETER_LABELS = {
 LEVELS = {"info": "Info", "warn": "Perhatian", "danger": "Kritis"}
 
 
-def _lookup(value: Column, table: dict[str, str]) -> Column:
-    branches = F
-    for key, text in table.items():
-        branches = branches.when(value == key, text)
-    return branches
+def _lookup(value: str, table: dict[str, str], otherwise: str) -> str:
+    branches = " ".join(f"WHEN '{key}' THEN '{text}'" for key, text in table.items())
+    return f"CASE {value} {branches} ELSE {otherwise} END"
 
 
-def parameter_label(parameter: Column) -> Column:
-    return _lookup(parameter, PARAMETER_LABELS).otherwise(parameter)
+def parameter_label(parameter: str) -> str:
+    return _lookup(parameter, PARAMETER_LABELS, parameter)
 
 
-def level_text(severity: Column) -> Column:
-    return _lookup(severity, LEVELS)
+def level_text(severity: str) -> str:
+    return _lookup(severity, LEVELS, "NULL")
 
 
-def alert_message(unit_name: Column, label: Column, value: Column, severity: Column) -> Column:
-    return F.concat(
-        F.lit("["), level_text(severity), F.lit("] "), unit_name, F.lit(": "), label, F.lit(" = "), value.cast("string")
-    )
+def alert_message(unit_name: str, label: str, value: str, severity: str) -> str:
+    return f"concat('[', {level_text(severity)}, '] ', {unit_name}, ': ', {label}, ' = ', CAST({value} AS STRING))"
 
 
-def iso_text(timestamp: Column) -> Column:
+def iso_text(timestamp: str) -> str:
     """ISO-8601 without zone; six fraction digits, or none when the fraction is zero."""
-    text = F.translate(timestamp.cast("timestamp_ntz").cast("string"), " ", "T")
-    return F.when(F.length(text) > 19, F.rpad(text, 26, "0")).otherwise(text)
+    text = f"translate(CAST(CAST({timestamp} AS TIMESTAMP_NTZ) AS STRING), ' ', 'T')"
+    return f"if(length({text}) > 19, rpad({text}, 26, '0'), {text})"

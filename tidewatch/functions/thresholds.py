@@ -1,4 +1,4 @@
-"""Threshold rules as column expressions.
+"""Threshold rules.
 
 Every limit is strict: a value on a limit stays in the milder band. NaN and
 NULL have no severity. Spark orders NaN above all numbers, hence the guard.
@@ -6,13 +6,8 @@ NULL have no severity. Spark orders NaN above all numbers, hence the guard.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
 from typing import NamedTuple
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 
 class Limits(NamedTuple):
     danger_below: float | None
@@ -33,54 +28,65 @@ LIMITS = {
 PARAMETERS = tuple(LIMITS)
 
 
-def _outside(value: Column, below: float | None, above: float | None) -> Column:
+def _outside(value: str, below: float | None, above: float | None) -> str:
     tests = []
     if below is not None:
-        tests.append(value < below)
+        tests.append(f"{value} < {below}D")
     if above is not None:
-        tests.append(value > above)
-    return reduce(or_, tests) if tests else F.lit(False)
+        tests.append(f"{value} > {above}D")
+    return " OR ".join(tests) or "false"
 
 
-def severity(parameter: str, value: Column) -> Column:
-    """``danger``, ``warn`` or NULL; always NULL for an unknown parameter."""
+def _banded(parameter: str, value: str | None, danger: str, warn: str, otherwise: str) -> str:
     limits = LIMITS.get(parameter)
     if limits is None:
-        return F.lit(None).cast("string")
+        return otherwise
+    value = value or parameter
     return (
-        F.when(F.isnan(value), F.lit(None).cast("string"))
-        .when(_outside(value, limits.danger_below, limits.danger_above), "danger")
-        .when(_outside(value, limits.warn_below, limits.warn_above), "warn")
+        f"CASE WHEN isnan({value}) THEN {otherwise}"
+        f" WHEN {_outside(value, limits.danger_below, limits.danger_above)} THEN {danger}"
+        f" WHEN {_outside(value, limits.warn_below, limits.warn_above)} THEN {warn}"
+        f" ELSE {otherwise} END"
     )
 
 
-def severity_of(parameter: Column, value: Column) -> Column:
-    """The same for rows that hold the parameter's name in a column."""
-    branches = F
-    for name in PARAMETERS:
-        branches = branches.when(parameter == name, severity(name, value))
-    return branches
+def severity(parameter: str, value: str | None = None) -> str:
+    """``danger``, ``warn`` or NULL; always NULL for an unknown parameter.
 
+    ``value`` is a column or expression, by default the column of that name.
+    """
+    return _banded(parameter, value, "'danger'", "'warn'", "CAST(NULL AS STRING)")
 
-def may_alert() -> Column:
-    """True for every reading with at least one alert (and for some with NaN).
 
-    Plain comparisons on stored columns, so that Parquet row groups holding
-    only ordinary values are skipped at the scan.
-    """
-    return reduce(or_, [_outside(F.col(p), r.warn_below, r.warn_above) for p, r in LIMITS.items()])
+def severity_of(parameter: str, value: str) -> str:
+    """The same for rows that hold the parameter's name in a column."""
+    branches = " ".join(f"WHEN '{name}' THEN {severity(name, value)}" for name in PARAMETERS)
+    return f"CASE {parameter} {branches} END"
+
 
+# Status labels.
+KRITIS, PERHATIAN, NORMAL = "kritis", "perhatian", "normal"
+STATUSES = (KRITIS, PERHATIAN, NORMAL)
 
-def status_label(severity_value: Column) -> Column:
-    # Status labels.
-    return F.when(severity_value == "danger", "kritis").when(severity_value == "warn", "perhatian").otherwise("normal")
 
+def status(parameter: str, value: str | None = None) -> str:
+    return _banded(parameter, value, f"'{KRITIS}'", f"'{PERHATIAN}'", f"'{NORMAL}'")
 
-def status(parameter: str, value: Column) -> Column:
-    return status_label(severity(parameter, value))
 
+def status_label(severity_value: str) -> str:
+    return f"CASE {severity_value} WHEN 'danger' THEN '{KRITIS}' WHEN 'warn' THEN '{PERHATIAN}' ELSE '{NORMAL}' END"
 
-def status_struct() -> Column:
+
+def status_struct() -> str:
     """The nested status of a reading; light is not checked and always normal."""
-    fields = [status(p, F.col(p)).alias(p) for p in PARAMETERS]
-    return F.struct(*fields, F.lit("normal").alias("light_intensity"))
+    fields = [f"'{p}', {status(p)}" for p in (*PARAMETERS, "light_intensity")]
+    return f"named_struct({', '.join(fields)})"
+
+
+def may_alert() -> str:
+    """True for every reading with at least one alert (and for some with NaN).
+
+    Plain comparisons on stored columns, so that Parquet row groups holding
+    only ordinary values are skipped at the scan.
+    """
+    return " OR ".join(_outside(p, limits.warn_below, limits.warn_above) for p, limits in LIMITS.items())

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # The lookback range in hours, and the site's time zone.
 MIN_HOURS, MAX_HOURS, DEFAULT_HOURS = 1, 168, 24
 SITE_ZONE = "Asia/Jakarta"
@@ -26,18 +23,18 @@ def naive_utc(moment: datetime | str) -> datetime:
     return moment
 
 
-def moment_literal(moment: datetime | str) -> Column:
-    return F.lit(naive_utc(moment).isoformat(sep=" ")).cast("timestamp_ntz")
+def moment_literal(moment: datetime | str) -> str:
+    return f"TIMESTAMP_NTZ'{naive_utc(moment).isoformat(sep=' ')}'"
 
 
 def hours_before(as_of: datetime | str, hours: int) -> datetime:
     return naive_utc(as_of) - timedelta(hours=hours)
 
 
-def floor_hour(timestamp: Column) -> Column:
+def floor_hour(timestamp: str) -> str:
     """Start of the hour. Stays a naive time, unlike ``date_trunc``, which yields a zoned one."""
-    return timestamp - F.make_dt_interval(mins=F.minute(timestamp), secs=F.extract(F.lit("SECOND"), timestamp))
+    return f"{timestamp} - make_dt_interval(0, 0, minute({timestamp}), extract(SECOND FROM {timestamp}))"
 
 
-def local_time(timestamp: Column, zone: str = SITE_ZONE) -> Column:
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), timestamp)
+def local_time(timestamp: str, zone: str = SITE_ZONE) -> str:
+    return f"convert_timezone('UTC', '{zone}', {timestamp})"

@@ -21,27 +21,24 @@ def raise_alerts(named: DataFrame) -> DataFrame:
     readings again gives the same alerts. One pass: rows without any breach are
     dropped at the scan, the rest are unfolded into one row per parameter.
     """
-    banded = named.filter(may_alert()).select(
-        "id", "unit_id", "unit_name", "timestamp", *PARAMETERS, *[severity(p, F.col(p)).alias(f"severity_{p}") for p in PARAMETERS]
-    )
     checks = ", ".join(
-        f"{position}L, '{p}', '{PARAMETER_LABELS[p]}', {p}, severity_{p}" for position, p in enumerate(PARAMETERS)
+        f"{position}L, '{p}', '{PARAMETER_LABELS[p]}', {p}, {severity(p)}" for position, p in enumerate(PARAMETERS)
     )
-    unfolded = banded.selectExpr(
+    unfolded = named.filter(may_alert()).selectExpr(
         "id AS reading_id",
         "unit_id",
         "unit_name",
         "timestamp",
         f"stack({len(PARAMETERS)}, {checks}) AS (position, parameter, label, value, severity)",
-    ).filter("severity IS NOT NULL")
-    return unfolded.select(
-        (F.col("reading_id") * len(PARAMETERS) + F.col("position")).alias("id"),
+    )
+    return unfolded.filter("severity IS NOT NULL").selectExpr(
+        f"reading_id * {len(PARAMETERS)} + position AS id",
         "unit_id",
         "parameter",
         "severity",
-        alert_message(F.col("unit_name"), F.col("label"), F.col("value"), F.col("severity")).alias("message"),
+        f"{alert_message('unit_name', 'label', 'value', 'severity')} AS message",
         "timestamp",
-        F.lit(False).alias("is_read"),
+        "false AS is_read",
     )
 
 
@@ -66,13 +63,13 @@ def alert_feed(alerts: DataFrame, units: DataFrame, n: int = FEED_LENGTH) -> Dat
 
 
 def unread_dangers(alerts: DataFrame) -> DataFrame:
-    return alerts.filter((F.col("severity") == "danger") & ~F.col("is_read"))
+    return alerts.filter("severity = 'danger' AND NOT is_read")
 
 
 def critical_alert(feed: DataFrame) -> DataFrame:
     """The unread alert of a feed to show first: danger, then warn, then any; at most one row."""
-    urgency = F.when(F.col("severity") == "danger", 0).when(F.col("severity") == "warn", 1).otherwise(2)
-    return feed.filter(~F.col("is_read")).orderBy(urgency, F.desc("timestamp"), F.desc("id")).limit(1)
+    urgency = F.expr("CASE severity WHEN 'danger' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END")
+    return feed.filter("NOT is_read").orderBy(urgency, F.desc("timestamp"), F.desc("id")).limit(1)
 
 
 def new_dangers(feed: DataFrame, previous_feed: DataFrame | None = None) -> DataFrame:
@@ -93,13 +90,12 @@ def apply_receipts(alerts: DataFrame, receipts: DataFrame) -> DataFrame:
     Receipts are reduced to one row per alert before the join, so neither side
     repeats a key.
     """
-    read = receipts.filter(F.col("alert_id").isNotNull()).select("alert_id").distinct().withColumn("_receipt", F.lit(True))
-    joined = alerts.join(read, alerts["id"] == read["alert_id"], "left")
-    is_read = F.col("is_read") | F.coalesce(F.col("_receipt"), F.lit(False))
-    return joined.withColumn("is_read", is_read).select(*alerts.columns)
+    read = receipts.filter("alert_id IS NOT NULL").selectExpr("alert_id AS id").distinct().selectExpr("id", "true AS _receipt")
+    kept = [c if c != "is_read" else "is_read OR coalesce(_receipt, false) AS is_read" for c in alerts.columns]
+    return alerts.join(read, "id", "left").selectExpr(*kept)
 
 
 def unknown_receipts(alerts: DataFrame, receipts: DataFrame) -> DataFrame:
     """Receipts for alerts that do not exist, with how often each was sent."""
-    sent = receipts.filter(F.col("alert_id").isNotNull()).groupBy("alert_id").agg(F.count("*").alias("receipts"))
-    return sent.join(alerts.select(F.col("id").alias("alert_id")), "alert_id", "left_anti")
+    sent = receipts.filter("alert_id IS NOT NULL").groupBy("alert_id").agg(F.count("*").alias("receipts"))
+    return sent.join(alerts.selectExpr("id AS alert_id"), "alert_id", "left_anti")

@@ -34,8 +34,8 @@ DECLINING_IDS = (3,)
 HORIZONS = ("do_2h", "do_4h", "do_6h")
 FORECAST_FIELDS = ("do_now", *HORIZONS, "confidence")
 
-# Rows beyond this size are averaged as floating point; they are no oxygen values.
-_EXACT_BELOW = 1e6
+# Larger values, which no oxygen reading has, and NaN are averaged as floating point.
+_EXACT_BELOW = 1_000_000
 
 Model = Callable[[int, pd.DataFrame], Mapping[str, float]]
 
@@ -54,48 +54,48 @@ def _is_declining(declining: Column | Iterable[int]) -> Column:
 
 def recent_oxygen(readings: DataFrame, as_of: datetime | str) -> DataFrame:
     """Up to six newest oxygen values per unit within the last 24 h."""
-    return last_rows(since(readings, as_of, WINDOW_HOURS).select("unit_id", "timestamp", "id", "do_predicted"), WINDOW_ROWS)
+    window = since(readings, as_of, WINDOW_HOURS).select("unit_id", "timestamp", "id", "do_predicted")
+    return last_rows(window, WINDOW_ROWS)
+
+
+def _window_means(recent: DataFrame) -> DataFrame:
+    """Mean oxygen per unit in hundredths, rounded half-up."""
+    oxygen = recent.selectExpr("unit_id", f"coalesce(do_predicted, {MISSING_VALUE}D) AS oxygen")
+    exact = f"abs(oxygen) < {_EXACT_BELOW}"
+    sums = oxygen.groupBy("unit_id").agg(
+        F.expr(f"sum(CASE WHEN {exact} THEN {micros('oxygen')} END) AS total"),
+        F.expr("count(*) AS n"),
+        F.expr(f"bool_and({exact}) AS exact"),
+        F.expr("avg(oxygen) AS mean"),
+    )
+    hundredths = f"CASE WHEN exact THEN CAST({mean_hundredths('total', 'n')} AS DOUBLE) ELSE round(mean * 100) END"
+    return sums.selectExpr("unit_id AS id", f"{hundredths} AS _mean")
 
 
 def forecast_from(units: DataFrame, recent: DataFrame, declining: Column | Iterable[int] = DECLINING_IDS) -> DataFrame:
-    """Forecast of every unit from its recent oxygen values; a unit without any gets the default."""
-    oxygen = F.coalesce(F.col("do_predicted"), F.lit(MISSING_VALUE))
-    exact = F.abs(oxygen) < _EXACT_BELOW
-    means = recent.groupBy("unit_id").agg(
-        F.sum(F.when(exact, micros(oxygen))).alias("_micros"),
-        F.count("*").alias("_rows"),
-        F.bool_and(exact).alias("_exact"),
-        F.avg(oxygen).alias("_mean"),
-    )
-    means = means.select(
-        F.col("unit_id").alias("id"),
-        F.when(F.col("_exact"), mean_hundredths(F.col("_micros"), F.col("_rows"))).alias("_hundredths"),
-        F.when(~F.col("_exact"), F.col("_mean") * 100).alias("_inexact"),
-    )
-    falling = _is_declining(declining)
-    # Whole hundredths throughout; a non-finite mean passes through as it is.
-    default = F.when(F.col("_inexact").isNull(), F.lit(EMPTY_WINDOW).cast("long"))
-    now = F.coalesce(F.col("_hundredths"), default)
-    capped = F.when(F.col("_falling"), F.least(F.col("_now"), F.lit(DECLINING_CAP).cast("long"))).otherwise(F.col("_now"))
-    capped_inexact = F.when(
-        F.col("_falling") & (F.col("_inexact") > DECLINING_CAP) & ~F.isnan("_inexact"), F.lit(float(DECLINING_CAP))
-    ).otherwise(F.col("_inexact"))
-    based = (
-        units.join(means, "id", "left")
-        .select("id", "name", falling.alias("_falling"), now.alias("_now"), "_inexact")
-        .select("id", "name", "_falling", capped.alias("_now"), capped_inexact.alias("_inexact"))
-    )
+    """Forecast of every unit from its recent oxygen values; a unit without any gets the default.
 
-    def value(falling_offset: int, steady_offset: int) -> Column:
-        offset = F.when(F.col("_falling"), falling_offset).otherwise(steady_offset)
-        return F.coalesce((F.col("_now") + offset) / 100.0, F.round(F.col("_inexact") + offset) / 100.0)
-
-    return based.select(
-        F.col("id").alias("unit_id"),
-        F.col("name").alias("unit_name"),
-        value(0, 0).alias("do_now"),
-        *[value(d, s).alias(h) for h, d, s in zip(HORIZONS, DECLINING.offsets, STEADY.offsets)],
-        F.when(F.col("_falling"), DECLINING.confidence).otherwise(STEADY.confidence).alias("confidence"),
+    Counted in whole hundredths up to the last step, so all four values carry
+    the rounding of the mean. A NaN mean stays NaN.
+    """
+    joined = units.join(_window_means(recent), "id", "left").withColumn("_falling", _is_declining(declining))
+    based = joined.selectExpr("id", "name", "_falling", f"coalesce(_mean, {EMPTY_WINDOW}D) AS _mean").selectExpr(
+        "id",
+        "name",
+        "_falling",
+        f"CASE WHEN _falling AND _mean > {DECLINING_CAP} AND NOT isnan(_mean)"
+        f" THEN {DECLINING_CAP}D ELSE _mean END AS _now",
+    )
+    later = [
+        f"(_now + if(_falling, {falling}, {steady})) / 100D AS {horizon}"
+        for horizon, falling, steady in zip(HORIZONS, DECLINING.offsets, STEADY.offsets)
+    ]
+    return based.selectExpr(
+        "id AS unit_id",
+        "name AS unit_name",
+        "_now / 100D AS do_now",
+        *later,
+        f"if(_falling, {DECLINING.confidence}D, {STEADY.confidence}D) AS confidence",
     )
 
 
@@ -127,24 +127,22 @@ def _forecast_with(units: DataFrame, readings: DataFrame, as_of: datetime | str,
     reaches the model with an empty frame.
     """
     features = ["timestamp", *MEASURES]
-    newest = last_rows(since(readings, as_of, WINDOW_HOURS).select("unit_id", "id", *features), rows)
-    inputs = units.select(F.col("id").alias("unit_id"), F.col("name").alias("unit_name")).join(
-        newest.withColumnRenamed("id", "_reading"), "unit_id", "left"
-    )
+    window = since(readings, as_of, WINDOW_HOURS).select("unit_id", "id", *features)
+    newest = last_rows(window, rows).withColumnRenamed("id", "_reading")
+    inputs = units.selectExpr("id AS unit_id", "name AS unit_name").join(newest, "unit_id", "left")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         frame = group[group["_reading"].notna()].sort_values(["timestamp", "_reading"])
         unit_id = int(group["unit_id"].iloc[0])
         answer = model(unit_id, frame[features].reset_index(drop=True))
-        return pd.DataFrame(
-            [[unit_id, group["unit_name"].iloc[0], *[float(answer[f]) for f in FORECAST_FIELDS]]],
-            columns=["unit_id", "unit_name", *FORECAST_FIELDS],
-        )
+        values = [float(answer[field]) for field in FORECAST_FIELDS]
+        row = [unit_id, group["unit_name"].iloc[0], *values]
+        return pd.DataFrame([row], columns=["unit_id", "unit_name", *FORECAST_FIELDS])
 
-    schema = "unit_id int, unit_name string, " + ", ".join(f"{f} double" for f in FORECAST_FIELDS)
+    schema = "unit_id int, unit_name string, " + ", ".join(f"{field} double" for field in FORECAST_FIELDS)
     return inputs.groupBy("unit_id").applyInPandas(run, schema)
 
 
 def forecast_status(forecast: DataFrame) -> DataFrame:
     """The band of each forecast's current value."""
-    return forecast.select("unit_id", "unit_name", "do_now", status("do_predicted", F.col("do_now")).alias("do_status"))
+    return forecast.selectExpr("unit_id", "unit_name", "do_now", f"{status('do_predicted', 'do_now')} AS do_status")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.schemas import DEFAULTS, DOMAINS, MAX_LENGTHS, REQUIRED
@@ -15,53 +15,44 @@ def apply_defaults(rows: DataFrame, table: str) -> DataFrame:
     return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in DEFAULTS[table].items()})
 
 
-def _row_rules(table: str) -> dict[str, Column]:
+def _row_rules(table: str) -> dict[str, str]:
     """Rules that one row can break, as conditions that are true for a violation."""
-    rules = {f"not_null:{c}": F.col(c).isNull() for c in REQUIRED[table]}
+    rules = {f"not_null:{c}": f"{c} IS NULL" for c in REQUIRED[table]}
     for column, domain in DOMAINS[table].items():
-        rules[f"domain:{column}"] = ~F.col(column).isin(*domain)
+        rules[f"domain:{column}"] = f"{column} NOT IN {domain}"
     for column, length in MAX_LENGTHS.get(table, {}).items():
-        rules[f"max_length:{column}"] = F.length(column) > length
+        rules[f"max_length:{column}"] = f"length({column}) > {length}"
     return rules
 
 
-def _as_rows(table: str, counts: DataFrame, rules: list[str]) -> DataFrame:
-    entries = [
-        F.struct(
-            F.lit(table).alias("table_name"),
-            F.lit(rule).alias("rule"),
-            F.coalesce(F.col(f"`{rule}`"), F.lit(0).cast("long")).alias("violations"),
-        )
-        for rule in rules
-    ]
-    return counts.select(F.inline(F.array(*entries)))
+def _counted(rows: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
+    """Rows and violations per key; the heavy part, summed within each task first."""
+    counts = [F.expr(f"count_if({broken}) AS `{rule}`") for rule, broken in rules.items()]
+    return rows.groupBy(key).agg(F.count("*").alias("_rows"), *counts)
+
+
+def _as_rows(table: str, per_key: DataFrame, rules: dict[str, str], key_rule: str, key_violations: str) -> DataFrame:
+    sums = [F.expr(f"coalesce(sum(`{rule}`), 0L) AS `{rule}`") for rule in rules]
+    totals = per_key.agg(*sums, F.expr(f"coalesce({key_violations}, 0L) AS `{key_rule}`"))
+    entries = ", ".join(f"'{rule}', `{rule}`" for rule in (*rules, key_rule))
+    stacked = totals.selectExpr(f"stack({len(rules) + 1}, {entries}) AS (rule, violations)")
+    return stacked.selectExpr(f"'{table}' AS table_name", "rule", "violations")
 
 
 def _check_units(units: DataFrame) -> DataFrame:
     """Names are counted first, so the unique check sees one row per name."""
     rules = _row_rules("units")
-    per_name = units.groupBy("name").agg(
-        F.count("*").alias("_rows"), *[F.count_if(broken).alias(rule) for rule, broken in rules.items()]
-    )
-    repeated = F.col("name").isNotNull() & (F.col("_rows") > 1)
-    counts = per_name.agg(
-        *[F.sum(f"`{rule}`").alias(rule) for rule in rules], F.count_if(repeated).alias("unique:name")
-    )
-    return _as_rows("units", counts, [*rules, "unique:name"])
+    repeated = "count_if(name IS NOT NULL AND _rows > 1)"
+    return _as_rows("units", _counted(units, "name", rules), rules, "unique:name", repeated)
 
 
 def _check_facts(table: str, facts: DataFrame, units: DataFrame) -> DataFrame:
     """One scan: counts per unit id first, then the few unit ids meet the units."""
     rules = _row_rules(table)
-    per_unit = facts.groupBy("unit_id").agg(
-        F.count("*").alias("_rows"), *[F.count_if(broken).alias(rule) for rule, broken in rules.items()]
-    )
-    known = units.select(F.col("id").alias("unit_id"), F.lit(True).alias("_known")).distinct()
-    orphans = F.when(F.col("unit_id").isNotNull() & F.col("_known").isNull(), F.col("_rows"))
-    counts = per_unit.join(known, "unit_id", "left").agg(
-        *[F.sum(f"`{rule}`").alias(rule) for rule in rules], F.sum(orphans).alias("foreign_key:unit_id")
-    )
-    return _as_rows(table, counts, [*rules, "foreign_key:unit_id"])
+    known = units.selectExpr("id AS unit_id", "true AS _known").distinct()
+    per_unit = _counted(facts, "unit_id", rules).join(known, "unit_id", "left")
+    orphans = "sum(CASE WHEN unit_id IS NOT NULL AND _known IS NULL THEN _rows END)"
+    return _as_rows(table, per_unit, rules, "foreign_key:unit_id", orphans)
 
 
 def check_constraints(units: DataFrame, readings: DataFrame, alerts: DataFrame) -> DataFrame:

@@ -8,28 +8,25 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.thresholds import PARAMETERS, severity, status, status_struct
+from tidewatch.functions.thresholds import KRITIS, PARAMETERS, STATUSES, severity, status, status_struct
 from tidewatch.functions.times import DEFAULT_HOURS, SITE_ZONE, clamp_hours, local_time
 from tidewatch.operators.joins import join_unit_names
 from tidewatch.operators.recent import latest_one, latest_with_ties, since
 from tidewatch.schemas import MEASURES
 
-# The states of a unit on the map.
-WARNING, CRITICAL, OK = "warning", "critical", "ok"
-
-STATUSES = ("kritis", "perhatian", "normal")
-
 
 def reading_documents(named: DataFrame) -> DataFrame:
     """Readings with ``unit_name``, shaped for display, with their nested status."""
-    return named.select("id", "unit_id", "unit_name", "timestamp", *MEASURES, "do_source", status_struct().alias("status"))
+    return named.selectExpr(
+        "id", "unit_id", "unit_name", "timestamp", *MEASURES, "do_source", f"{status_struct()} AS status"
+    )
 
 
 def flatten_status(documents: DataFrame) -> DataFrame:
     """The nested status as plain columns ``status_<parameter>``."""
     fields = documents.schema["status"].dataType.names
     plain = [c for c in documents.columns if c != "status"]
-    return documents.select(*plain, *[F.col("status")[f].alias(f"status_{f}") for f in fields])
+    return documents.selectExpr(*plain, *[f"status.{f} AS status_{f}" for f in fields])
 
 
 def latest_readings(readings: DataFrame, units: DataFrame) -> DataFrame:
@@ -39,24 +36,16 @@ def latest_readings(readings: DataFrame, units: DataFrame) -> DataFrame:
 
 def band_readings(readings: DataFrame) -> DataFrame:
     """Status of every reading."""
-    return readings.select(
-        "id", "unit_id", "timestamp", *[status(p, F.col(p)).alias(f"status_{p}") for p in PARAMETERS]
-    )
+    return readings.selectExpr("id", "unit_id", "timestamp", *[f"{status(p)} AS status_{p}" for p in PARAMETERS])
 
 
 def band_counts(readings: DataFrame) -> DataFrame:
     """Readings per parameter and status, from one pass without widening the rows."""
     bands = [(p, label) for p in PARAMETERS for label in STATUSES]
-    counts = readings.agg(
-        *[F.count_if(status(p, F.col(p)) == label).alias(f"{p}_{label}") for p, label in bands]
-    )
-    rows = F.array(
-        *[
-            F.struct(F.lit(p).alias("parameter"), F.lit(label).alias("status"), F.col(f"{p}_{label}").alias("readings"))
-            for p, label in bands
-        ]
-    )
-    return counts.select(F.inline(rows))
+    banded = readings.selectExpr(*[f"{status(p)} AS {p}" for p in PARAMETERS])
+    counts = banded.agg(*[F.expr(f"count_if({p} = '{label}') AS {p}_{label}") for p, label in bands])
+    rows = ", ".join(f"'{p}', '{label}', {p}_{label}" for p, label in bands)
+    return counts.selectExpr(f"stack({len(bands)}, {rows}) AS (parameter, status, readings)")
 
 
 def _of_units(rows: DataFrame, unit_ids: Iterable[int] | DataFrame | None) -> DataFrame:
@@ -74,7 +63,7 @@ def history_rows(
     hours: int | None = DEFAULT_HOURS,
     unit_ids: Iterable[int] | DataFrame | None = None,
 ) -> DataFrame:
-    recent = since(_of_units(readings, unit_ids), as_of, clamp_hours(hours))
+    recent = _of_units(since(readings, as_of, clamp_hours(hours)), unit_ids)
     return reading_documents(join_unit_names(recent, units))
 
 
@@ -91,24 +80,26 @@ def sensor_history(
 
 def unknown_units(requested: DataFrame, units: DataFrame) -> DataFrame:
     """Requested ``unit_id`` values that no unit has, as opposed to units without readings."""
-    asked = requested.filter(F.col("unit_id").isNotNull()).groupBy("unit_id").agg(F.count("*").alias("requests"))
-    return asked.join(units.select(F.col("id").alias("unit_id")), "unit_id", "left_anti")
+    asked = requested.filter("unit_id IS NOT NULL").groupBy("unit_id").agg(F.count("*").alias("requests"))
+    return asked.join(units.selectExpr("id AS unit_id"), "unit_id", "left_anti")
 
 
 def trend_series(history: DataFrame, zone: str = SITE_ZONE) -> DataFrame:
     """Oxygen and temperature as one long series per unit, with the local time."""
-    return (
-        history.withColumn("local_time", local_time(F.col("timestamp"), zone))
-        .unpivot(
-            ["id", "unit_id", "unit_name", "timestamp", "local_time"], ["do_predicted", "temperature"], "series", "value"
-        )
+    return history.selectExpr(
+        "id",
+        "unit_id",
+        "unit_name",
+        "timestamp",
+        f"{local_time('timestamp', zone)} AS local_time",
+        "stack(2, 'do_predicted', do_predicted, 'temperature', temperature) AS (series, value)",
     )
 
 
 def unit_overview(units: DataFrame, readings: DataFrame) -> DataFrame:
     """Every unit with its newest reading nested, or NULL when it has none."""
     latest = reading_documents(latest_one(readings, units))
-    nested = latest.select(F.col("unit_id").alias("id"), F.struct(*latest.columns).alias("latest_reading"))
+    nested = latest.selectExpr("unit_id AS id", f"struct({', '.join(latest.columns)}) AS latest_reading")
     return (
         units.join(nested, "id", "left")
         .select("id", "name", "species", "status", "farmer_name", "latest_reading")
@@ -116,15 +107,20 @@ def unit_overview(units: DataFrame, readings: DataFrame) -> DataFrame:
     )
 
 
+# The states of a unit on the map.
+WARNING, CRITICAL, OK = "warning", "critical", "ok"
+
+
 def unit_state(overview: DataFrame) -> DataFrame:
     """A unit set to warning stays so, whatever its newest oxygen reading says."""
-    oxygen = F.col("latest_reading.status.do_predicted")
-    state = F.when(F.col("status") == "warning", WARNING).when(oxygen == "kritis", CRITICAL).otherwise(OK)
-    return overview.select("id", "name", "status", state.alias("state"))
+    state = (
+        f"CASE WHEN status = 'warning' THEN '{WARNING}'"
+        f" WHEN latest_reading.status.do_predicted = '{KRITIS}' THEN '{CRITICAL}' ELSE '{OK}' END"
+    )
+    return overview.selectExpr("id", "name", "status", f"{state} AS state")
 
 
 def classify_long(readings: DataFrame) -> DataFrame:
     """One row per reading and measure, with its severity (NULL for unchecked measures)."""
-    columns = ", ".join(f"'{m}', {m}, severity_{m}" for m in MEASURES)
-    banded = readings.select("id", *MEASURES, *[severity(m, F.col(m)).alias(f"severity_{m}") for m in MEASURES])
-    return banded.selectExpr("id", f"stack({len(MEASURES)}, {columns}) AS (parameter, value, severity)")
+    rows = ", ".join(f"'{m}', {m}, {severity(m)}" for m in MEASURES)
+    return readings.selectExpr("id", f"stack({len(MEASURES)}, {rows}) AS (parameter, value, severity)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.times import hours_before
@@ -18,10 +18,10 @@ def since(rows: DataFrame, as_of: datetime | str, hours: int) -> DataFrame:
     scan; on a date-partitioned table the second predicate prunes whole days.
     """
     bound = hours_before(as_of, hours)
-    kind = rows.schema["timestamp"].dataType
-    kept = rows.filter(F.col("timestamp") >= F.lit(bound.isoformat(sep=" ")).cast(kind))
+    kind = rows.schema["timestamp"].dataType.simpleString()
+    kept = rows.filter(f"timestamp >= CAST('{bound.isoformat(sep=' ')}' AS {kind})")
     if "date" in rows.columns:
-        kept = kept.filter(F.col("date") >= F.lit(bound.date()))
+        kept = kept.filter(f"date >= DATE'{bound.date().isoformat()}'")
     return kept
 
 
@@ -31,18 +31,16 @@ def last_rows(rows: DataFrame, n: int) -> DataFrame:
     Each task keeps at most ``n`` rows per unit before the shuffle, so a unit
     with a large share of the rows sends no more than any other.
     """
-    newest_first = Window.partitionBy("unit_id").orderBy(F.desc("timestamp"), F.desc("id"))
-    numbered = rows.withColumn("_position", F.row_number().over(newest_first))
-    return numbered.filter(F.col("_position") <= n).drop("_position")
+    numbered = rows.selectExpr(
+        "*", "row_number() OVER (PARTITION BY unit_id ORDER BY timestamp DESC, id DESC) AS _position"
+    )
+    return numbered.filter(f"_position <= {n}").drop("_position")
 
 
 def latest_times(readings: DataFrame) -> DataFrame:
     """Newest timestamp of each unit: a hash aggregate over two columns."""
-    return (
-        readings.filter(F.col("unit_id").isNotNull() & F.col("timestamp").isNotNull())
-        .groupBy("unit_id")
-        .agg(F.max("timestamp").alias("timestamp"))
-    )
+    present = readings.filter("unit_id IS NOT NULL AND timestamp IS NOT NULL")
+    return present.groupBy("unit_id").agg(F.max("timestamp").alias("timestamp"))
 
 
 def _at_latest_times(readings: DataFrame, units: DataFrame) -> DataFrame:
@@ -54,8 +52,7 @@ def _at_latest_times(readings: DataFrame, units: DataFrame) -> DataFrame:
     at most one row per known unit. A date-partitioned table is read the second
     time only on days that hold some unit's newest reading.
     """
-    newest = latest_times(readings)
-    keys = newest.join(F.broadcast(unit_names(units)), "unit_id")
+    keys = latest_times(readings).join(F.broadcast(unit_names(units)), "unit_id")
     if "date" in readings.columns:
         days = keys.agg(F.collect_set(F.to_date("timestamp")))
         readings = readings.filter(F.array_contains(days.scalar(), F.col("date")))
@@ -66,9 +63,8 @@ def latest_with_ties(readings: DataFrame, units: DataFrame, limit: int | None =
     """All readings at the newest time of each known unit, plus ``unit_name``."""
     if names_fit_broadcast(units, limit):
         return _at_latest_times(readings, units)
-    newest_first = Window.partitionBy("unit_id").orderBy(F.desc("timestamp"))
-    ties = readings.withColumn("_rank", F.rank().over(newest_first)).filter("_rank = 1").drop("_rank")
-    return join_unit_names(ties, units, limit)
+    ranked = readings.selectExpr("*", "rank() OVER (PARTITION BY unit_id ORDER BY timestamp DESC) AS _rank")
+    return join_unit_names(ranked.filter("_rank = 1").drop("_rank"), units, limit)
 
 
 def latest_one(readings: DataFrame, units: DataFrame, limit: int | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.text import iso_text, level_text, parameter_label
 from tidewatch.functions.thresholds import PARAMETERS, severity_of, status_label
+from tidewatch.functions.times import moment_literal
 from tidewatch.operators import alerts as alert_ops
 from tidewatch.operators import forecast as forecast_ops
 from tidewatch.operators import quality
@@ -57,7 +58,7 @@ def latest_readings_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def latest_times_per_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_times(fx.readings(spark, sf_dir)).withColumn("timestamp_text", iso_text(F.col("timestamp")))
+    return latest_times(fx.readings(spark, sf_dir)).selectExpr("*", f"{iso_text('timestamp')} AS timestamp_text")
 
 
 @_query
@@ -80,14 +81,11 @@ def band_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classify_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every measure of every reading with severity, status and labels, light included."""
     rows = reading_ops.classify_long(fx.readings(spark, sf_dir))
-    return rows.select(
-        "id",
-        "parameter",
-        "value",
-        "severity",
-        status_label(F.col("severity")).alias("status"),
-        parameter_label(F.col("parameter")).alias("label"),
-        level_text(F.col("severity")).alias("level"),
+    return rows.selectExpr(
+        "*",
+        f"{status_label('severity')} AS status",
+        f"{parameter_label('parameter')} AS label",
+        f"{level_text('severity')} AS level",
     )
 
 
@@ -95,8 +93,8 @@ def classify_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def severity_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severity where the parameter is a column's value, unknown ones included."""
     rows = fx.readings(spark, sf_dir).unpivot(["id"], list(MEASURES), "parameter", "value")
-    severity = severity_of(F.col("parameter"), F.col("value"))
-    return rows.groupBy("parameter", severity.alias("severity")).agg(F.count("*").alias("readings"))
+    banded = rows.selectExpr("parameter", f"{severity_of('parameter', 'value')} AS severity")
+    return banded.groupBy("parameter", "severity").agg(F.count("*").alias("readings"))
 
 
 # History
@@ -140,7 +138,7 @@ def sensor_history_of_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sensor_history_of_chosen_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units chosen by another query: those with a large purchase event."""
     chosen = fx.load(spark, sf_dir, "events").filter("event_type = 'purchase' AND value > 60")
-    ids = chosen.select((F.col("user_id") % 30 + 3).cast("int").alias("unit_id"))
+    ids = chosen.selectExpr("CAST(user_id % 30 + 3 AS INT) AS unit_id")
     return _history(spark, sf_dir, 24, ids)
 
 
@@ -163,18 +161,15 @@ def trend_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def unit_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     overview = reading_ops.unit_overview(fx.units(spark, sf_dir), fx.readings(spark, sf_dir))
-    latest = F.col("latest_reading")
-    return overview.select(
+    return overview.selectExpr(
         "id",
         "name",
         "species",
         "status",
         "farmer_name",
-        latest["id"].alias("reading_id"),
-        latest["timestamp"].alias("timestamp"),
-        *[latest[m].alias(m) for m in MEASURES],
-        latest["do_source"].alias("do_source"),
-        *[latest["status"][p].alias(f"status_{p}") for p in (*PARAMETERS, "light_intensity")],
+        "latest_reading.id AS reading_id",
+        *[f"latest_reading.{c} AS {c}" for c in ("timestamp", *MEASURES, "do_source")],
+        *[f"latest_reading.status.{p} AS status_{p}" for p in (*PARAMETERS, "light_intensity")],
     )
 
 
@@ -218,7 +213,7 @@ def unknown_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _feed_at(spark: SparkSession, sf_dir: str, hours_ago: int) -> DataFrame:
     moment = fx.as_of(spark, sf_dir) - timedelta(hours=hours_ago)
-    known = fx.alerts(spark, sf_dir).filter(F.col("timestamp") <= F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz"))
+    known = fx.alerts(spark, sf_dir).filter(f"timestamp <= {moment_literal(moment)}")
     return alert_ops.alert_feed(known, fx.units(spark, sf_dir))
 
 

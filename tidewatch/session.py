@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # No call-site bookkeeping for every expression built in Python.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -37,38 +37,36 @@ _ROWS_PER_TASK = 2_000_000
 
 def generate_units(spark: SparkSession, n: int) -> DataFrame:
     """``n`` units with ids from 1, alternating species; the third one carries a warning."""
-    ids = spark.range(1, n + 1).select(F.col("id").cast("int").alias("id"))
-    name = F.format_string("U-%02d", "id")
-    return ids.select(
+    named = spark.range(1, n + 1).selectExpr("CAST(id AS INT) AS id", "format_string('U-%02d', id) AS name")
+    declining = " OR ".join(f"name = '{name}'" for name in DECLINING_NAMES)
+    return named.selectExpr(
         "id",
-        name.alias("name"),
-        F.when(F.col("id") % 2 == 1, "grouper").otherwise("snapper").alias("species"),
-        F.when(name.isin(*DECLINING_NAMES), "warning").otherwise("active").alias("status"),
-        F.format_string("Farmer %02d", "id").alias("farmer_name"),
+        "name",
+        "if(id % 2 = 1, 'grouper', 'snapper') AS species",
+        f"if({declining}, 'warning', 'active') AS status",
+        "format_string('Farmer %02d', id) AS farmer_name",
     )
 
 
-def _draw(position: int) -> Column:
-    digits = F.substring("_digest", position * _DRAW_DIGITS + 1, _DRAW_DIGITS)
-    return F.conv(digits, 16, 10).cast("long")
+def _draw(position: int) -> str:
+    return f"CAST(conv(substring(_digest, {position * _DRAW_DIGITS + 1}, {_DRAW_DIGITS}), 16, 10) AS BIGINT)"
 
 
-def _uniform(draw: Column, bounds: tuple[int, int]) -> Column:
+def _uniform(draw: str, bounds: tuple[int, int]) -> str:
     """A draw scaled to whole steps between the bounds, rounded half-up."""
     low, high = bounds
-    return F.shiftright(draw * (2 * (high - low)) + (1 << _DRAW_BITS), _DRAW_BITS + 1) + low
+    return f"({low} + shiftright({draw} * {2 * (high - low)} + {1 << _DRAW_BITS}, {_DRAW_BITS + 1}))"
 
 
-def _falling_oxygen(draw: Column, hour: Column, hours: int) -> Column:
+def _falling_oxygen(draw: str, hours: int) -> str:
     """Start, drop so far and noise over one common denominator, rounded half-up."""
     steps = max(hours - 1, 1)
     scale = steps << _DRAW_BITS
     exact = (
-        F.lit((OXYGEN_START - OXYGEN_NOISE) * scale)
-        - hour * (OXYGEN_DROP << _DRAW_BITS)
-        + draw * (2 * OXYGEN_NOISE * steps)
+        f"{(OXYGEN_START - OXYGEN_NOISE) * scale}L"
+        f" - _hour * {OXYGEN_DROP << _DRAW_BITS} + {draw} * {2 * OXYGEN_NOISE * steps}"
     )
-    return F.call_function("div", exact * 2 + scale, F.lit(2 * scale))
+    return f"((2 * ({exact}) + {scale}L) DIV {2 * scale}L)"
 
 
 def generate_readings(
@@ -90,29 +88,34 @@ def generate_readings(
     session = units.sparkSession
     tasks = max(session.sparkContext.defaultParallelism, -(-units.count() * hours // _ROWS_PER_TASK))
 
-    last_block = F.lit((hours - 1) // _BLOCK_HOURS)
-    blocks = units.select("id", "name", declining.alias("_declining")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), last_block))
+    blocks = units.select("id", "name", declining.alias("_declining")).selectExpr(
+        "id", "name", "_declining", f"explode(sequence(0L, {(hours - 1) // _BLOCK_HOURS}L)) AS _block"
     )
-    first = F.col("_block").cast("long") * _BLOCK_HOURS
-    last = F.least(first + (_BLOCK_HOURS - 1), F.lit(hours - 1).cast("long"))
-    grid = blocks.repartition(tasks, "id", "_block").withColumn("_hour", F.explode(F.sequence(first, last)))
-    drawn = grid.withColumn("_digest", F.md5(F.concat("name", F.lit("-"), F.col("_hour").cast("string"))))
-
-    turbid = F.col("_declining") & (F.col("_hour") >= hours - TURBID_HOURS)
-    turbidity = F.when(turbid, _uniform(_draw(3), TURBID)).otherwise(_uniform(_draw(3), TURBIDITY))
-    oxygen = F.when(F.col("_declining"), _falling_oxygen(_draw(5), F.col("_hour"), hours)).otherwise(
-        _uniform(_draw(5), OXYGEN)
+    first = f"_block * {_BLOCK_HOURS}"
+    drawn = (
+        blocks.repartition(tasks, "id", "_block")
+        .selectExpr(
+            "id",
+            "name",
+            "_declining",
+            f"explode(sequence({first}, least({first} + {_BLOCK_HOURS - 1}, {hours - 1}L))) AS _hour",
+        )
+        .selectExpr("id", "_declining", "_hour", "md5(concat(name, '-', CAST(_hour AS STRING))) AS _digest")
     )
-    return drawn.select(
-        (F.col("id").cast("long") * hours + F.col("_hour")).alias("id"),
-        F.col("id").alias("unit_id"),
-        (moment_literal(start) + F.make_dt_interval(hours=F.col("_hour").cast("int"))).alias("timestamp"),
-        (_uniform(_draw(1), PH) / 100.0).alias("ph"),
-        (_uniform(_draw(2), TEMPERATURE) / 100.0).alias("temperature"),
-        (_uniform(_draw(0), SALINITY) / 100.0).alias("salinity"),
-        (turbidity / 100.0).alias("turbidity"),
-        _uniform(_draw(4), LIGHT).cast("double").alias("light_intensity"),
-        (oxygen / 100.0).alias("do_predicted"),
-        F.lit("tft").alias("do_source"),
+    turbidity = (
+        f"if(_declining AND _hour >= {hours - TURBID_HOURS},"
+        f" {_uniform(_draw(3), TURBID)}, {_uniform(_draw(3), TURBIDITY)})"
+    )
+    oxygen = f"if(_declining, {_falling_oxygen(_draw(5), hours)}, {_uniform(_draw(5), OXYGEN)})"
+    return drawn.selectExpr(
+        f"CAST(id AS BIGINT) * {hours} + _hour AS id",
+        "id AS unit_id",
+        f"{moment_literal(start)} + make_dt_interval(0, CAST(_hour AS INT)) AS timestamp",
+        f"{_uniform(_draw(1), PH)} / 100D AS ph",
+        f"{_uniform(_draw(2), TEMPERATURE)} / 100D AS temperature",
+        f"{_uniform(_draw(0), SALINITY)} / 100D AS salinity",
+        f"{turbidity} / 100D AS turbidity",
+        f"CAST({_uniform(_draw(4), LIGHT)} AS DOUBLE) AS light_intensity",
+        f"{oxygen} / 100D AS do_predicted",
+        "'tft' AS do_source",
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,19 +68,19 @@ def insert_rows(rows: DataFrame, table: str, database: str = "default") -> None:
     _arranged(rows, table).write.mode("append").insertInto(f"{database}.{table}")
 
 
-def _render(value: Column, kind: T.DataType) -> Column:
+def _rendered(name: str, kind: T.DataType) -> str:
     if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
-        return iso_text(value)
+        return iso_text(name)
     if isinstance(kind, T.StructType):
-        fields = F.struct(*[_render(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
-        return F.when(value.isNotNull(), fields)
-    return value
+        fields = ", ".join(f"'{f.name}', {_rendered(f'{name}.{f.name}', f.dataType)}" for f in kind.fields)
+        return f"CASE WHEN {name} IS NOT NULL THEN named_struct({fields}) END"
+    return name
 
 
 def json_documents(rows: DataFrame) -> DataFrame:
     """One JSON text per row in column ``document``; times as ISO text, empty fields as null."""
-    fields = [_render(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields]
-    return rows.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("document"))
+    fields = ", ".join(f"'{f.name}', {_rendered(f.name, f.dataType)}" for f in rows.schema.fields)
+    return rows.selectExpr(f"to_json(named_struct({fields}), map('ignoreNullFields', 'false')) AS document")
 
 
 def write_json_lines(rows: DataFrame, path: str, mode: str = "overwrite") -> None:

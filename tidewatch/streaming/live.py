@@ -47,9 +47,8 @@ def stream_latest(readings: DataFrame) -> DataFrame:
     State is one row per unit, and every task reduces its part of a batch to one
     row per unit before the shuffle.
     """
-    columns = [F.col(c) for c in READINGS.names]
-    newest = F.max_by(F.struct(*columns), F.struct("timestamp", "id"))
-    return readings.groupBy("unit_id").agg(newest.alias("_newest")).select("_newest.*")
+    newest = f"max_by(struct({', '.join(READINGS.names)}), struct(timestamp, id)) AS _newest"
+    return readings.groupBy("unit_id").agg(F.expr(newest)).select("_newest.*")
 
 
 def latest_writer(readings: DataFrame, path: str) -> DataStreamWriter:
