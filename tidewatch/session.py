@@ -20,7 +20,9 @@ SETTINGS = {
 }
 
 
-def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(
+    cpus: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g", more: dict[str, str] | None = None
+) -> SparkSession:
     """A session on this machine, for tests and the benchmark."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -30,7 +32,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **(more or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -31,6 +31,7 @@ DECLINING_NAMES = ("U-03",)
 
 _DRAW_DIGITS = 5  # hexadecimal digits of a digest per draw
 _DRAW_BITS = 4 * _DRAW_DIGITS
+_DRAWS_PER_WORD = 3  # as many draws as fit one bigint, read from the digest at once
 _BLOCK_HOURS = 24
 _ROWS_PER_TASK = 2_000_000
 
@@ -48,8 +49,15 @@ def generate_units(spark: SparkSession, n: int) -> DataFrame:
     )
 
 
+def _word(position: int) -> str:
+    digits = _DRAW_DIGITS * _DRAWS_PER_WORD
+    return f"CAST(conv(substring(_digest, {position * digits + 1}, {digits}), 16, 10) AS BIGINT) AS _word{position}"
+
+
 def _draw(position: int) -> str:
-    return f"CAST(conv(substring(_digest, {position * _DRAW_DIGITS + 1}, {_DRAW_DIGITS}), 16, 10) AS BIGINT)"
+    word, place = divmod(position, _DRAWS_PER_WORD)
+    shift = _DRAW_BITS * (_DRAWS_PER_WORD - 1 - place)
+    return f"(shiftright(_word{word}, {shift}) & {(1 << _DRAW_BITS) - 1})"
 
 
 def _uniform(draw: str, bounds: tuple[int, int]) -> str:
@@ -101,6 +109,7 @@ def generate_readings(
             f"explode(sequence({first}, least({first} + {_BLOCK_HOURS - 1}, {hours - 1}L))) AS _hour",
         )
         .selectExpr("id", "_declining", "_hour", "md5(concat(name, '-', CAST(_hour AS STRING))) AS _digest")
+        .selectExpr("id", "_declining", "_hour", _word(0), _word(1))
     )
     turbidity = (
         f"if(_declining AND _hour >= {hours - TURBID_HOURS},"
