@@ -1,0 +1,77 @@
+from tests.tables import NOW, alert, alerts, nullable, reading, readings, units
+from tidewatch.operators.quality import apply_defaults, check_constraints
+from tidewatch.schemas import ALERTS, UNITS
+
+
+def violations(*tables):
+    rows = check_constraints(*tables).collect()
+    assert len({(r.table_name, r.rule) for r in rows}) == len(rows)
+    return {(r.table_name, r.rule): r.violations for r in rows}
+
+
+def test_clean_tables(spark):
+    result = violations(units(spark, 1, 2), readings(spark, reading(1, 1, NOW)), alerts(spark, alert(1)))
+    assert len(result) == 9 + 11 + 10
+    assert set(result.values()) == {0}
+
+
+def test_empty_tables(spark):
+    result = violations(units(spark), readings(spark), alerts(spark))
+    assert set(result.values()) == {0}
+
+
+def test_each_rule(spark):
+    fleet = spark.createDataFrame(
+        [
+            (1, "A", "grouper", "active", "x"),
+            (2, "A", "carp", None, "y" * 129),
+            (3, None, None, "s" * 33, None),
+            (None, "n" * 33, "snapper", "active", "z"),
+            (5, None, "snapper", "active", "z"),
+        ],
+        nullable(UNITS.__class__.fromJson(UNITS.jsonValue())),
+    )
+    rows = readings(
+        spark, reading(1, 1, NOW, do_source="buoy"), reading(2, 77, NOW), reading(3, 77, None), reading(None, None, NOW, ph=None)
+    )
+    raised = spark.createDataFrame(
+        [
+            (1, 1, "p" * 65, "severe", "m" * 513, NOW, False),
+            (2, 88, None, None, None, None, None),
+            (3, 1, "ph", "info", "ok", NOW, True),
+        ],
+        nullable(ALERTS.__class__.fromJson(ALERTS.jsonValue())),
+    )
+    broken = {k: v for k, v in violations(fleet, rows, raised).items() if v}
+    assert broken == {
+        ("units", "not_null:id"): 1,
+        ("units", "not_null:name"): 2,
+        ("units", "not_null:species"): 1,
+        ("units", "not_null:farmer_name"): 1,
+        ("units", "domain:species"): 1,
+        ("units", "max_length:name"): 1,
+        ("units", "max_length:status"): 1,
+        ("units", "max_length:farmer_name"): 1,
+        ("units", "unique:name"): 1,
+        ("readings", "not_null:id"): 1,
+        ("readings", "not_null:unit_id"): 1,
+        ("readings", "not_null:timestamp"): 1,
+        ("readings", "not_null:ph"): 1,
+        ("readings", "domain:do_source"): 1,
+        ("readings", "foreign_key:unit_id"): 2,
+        ("alerts", "not_null:parameter"): 1,
+        ("alerts", "not_null:severity"): 1,
+        ("alerts", "not_null:message"): 1,
+        ("alerts", "not_null:timestamp"): 1,
+        ("alerts", "domain:severity"): 1,
+        ("alerts", "max_length:parameter"): 1,
+        ("alerts", "max_length:message"): 1,
+        ("alerts", "foreign_key:unit_id"): 1,
+    }
+
+
+def test_defaults(spark):
+    fleet = spark.createDataFrame([(1, "A", "grouper", None, "x"), (2, "B", "grouper", "warning", "x")], UNITS)
+    assert [r.status for r in apply_defaults(fleet, "units").orderBy("id").collect()] == ["active", "warning"]
+    raised = spark.createDataFrame([(1, 1, "ph", "warn", "m", NOW, None), (2, 1, "ph", "warn", "m", NOW, True)], ALERTS)
+    assert [r.is_read for r in apply_defaults(raised, "alerts").orderBy("id").collect()] == [False, True]
