@@ -54,9 +54,15 @@ def salted_join(fact: DataFrame, dimension: DataFrame, key: str, spread: Column,
     return salted.join(repeated, [key, "_salt"]).drop("_salt")
 
 
-def join_unit_names(fact: DataFrame, units: DataFrame, limit: int | None = None) -> DataFrame:
-    """Adds ``unit_name``; rows of unknown units are dropped."""
+def join_unit_names(
+    fact: DataFrame, units: DataFrame, limit: int | None = None, within: DataFrame | None = None
+) -> DataFrame:
+    """Adds ``unit_name``; rows of unknown units are dropped.
+
+    When ``units`` is a selection, ``within`` is the table it was taken from,
+    which is measured in its place.
+    """
     names = unit_names(units)
-    if names_fit_broadcast(units, limit):
+    if names_fit_broadcast(units if within is None else within, limit):
         return fact.join(F.broadcast(names), "unit_id")
     return salted_join(fact, names, "unit_id", F.col("id"))

@@ -48,14 +48,6 @@ def band_counts(readings: DataFrame) -> DataFrame:
     return counts.selectExpr(f"stack({len(bands)}, {rows}) AS (parameter, status, readings)")
 
 
-def _of_units(rows: DataFrame, unit_ids: Iterable[int] | DataFrame | None) -> DataFrame:
-    if unit_ids is None:
-        return rows
-    if isinstance(unit_ids, DataFrame):
-        return rows.join(unit_ids.select("unit_id").distinct(), "unit_id", "left_semi")
-    return rows.filter(F.col("unit_id").isin(*unit_ids))
-
-
 def history_rows(
     readings: DataFrame,
     units: DataFrame,
@@ -63,8 +55,18 @@ def history_rows(
     hours: int | None = DEFAULT_HOURS,
     unit_ids: Iterable[int] | DataFrame | None = None,
 ) -> DataFrame:
-    recent = _of_units(since(readings, as_of, clamp_hours(hours)), unit_ids)
-    return reading_documents(join_unit_names(recent, units))
+    """The rows of ``sensor_history`` in no order.
+
+    Ids in a list are looked up at the scan. Ids in a table select among the
+    units, so the readings take part in one join either way.
+    """
+    recent = since(readings, as_of, clamp_hours(hours))
+    chosen = units
+    if isinstance(unit_ids, DataFrame):
+        chosen = units.join(unit_ids.selectExpr("unit_id AS id").distinct(), "id", "left_semi")
+    elif unit_ids is not None:
+        recent = recent.filter(F.col("unit_id").isin(*unit_ids))
+    return reading_documents(join_unit_names(recent, chosen, within=units))
 
 
 def sensor_history(
