@@ -9,6 +9,8 @@ from tidewatch.operators.alerts import (
     unknown_receipts,
 )
 
+from tidewatch.sources.tables import read_table, write_table
+
 
 def test_alerts_of_the_newest_reading_only(spark):
     fleet = units(spark, 1, 2, 3)
@@ -33,6 +35,17 @@ def test_feed_joins_before_it_limits(spark):
     assert ids(feed) == list(range(1, 51))
 
 
+def test_feed_of_a_stored_table(spark, tmp_path):
+    """Counting by day prunes days, also when most new alerts belong to unknown units."""
+    rows = [alert(i, unit_id=1 if i % 9 == 0 else 9, timestamp=ago(i * 5)) for i in range(1, 400)]
+    rows += [alert(1000 + i, unit_id=1, timestamp=ago(3000)) for i in range(60)]
+    fleet, plain = units(spark, 1), alerts(spark, *rows)
+    write_table(plain, str(tmp_path / "alerts"), "alerts")
+    stored = read_table(spark, str(tmp_path / "alerts"), "alerts")
+    for n in (1, 7, 44, 45, 50, 500):
+        assert ids(alert_feed(stored, fleet, n)) == ids(alert_feed(plain, fleet, n))
+
+
 def test_feed_breaks_ties_by_id(spark):
     feed = alert_feed(alerts(spark, alert(1), alert(3), alert(2)), units(spark, 1), n=2)
     assert ids(feed) == [3, 2]

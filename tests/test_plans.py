@@ -49,10 +49,24 @@ def test_alert_limits_reach_the_scan(stored, fleet, capsys):
 
 def test_latest_neither_sorts_nor_shuffles_the_readings(stored, fleet, capsys):
     text = plan(latest_with_ties(stored, fleet), capsys)
+    assert "ReadSchema: struct<unit_id:int>" in text
     assert "ReadSchema: struct<unit_id:int,timestamp:timestamp_ntz>" in text
-    assert text.count("BroadcastHashJoin") >= 2
     assert "SortMergeJoin" not in text and "Sort (" not in text and "Window" not in text
-    assert "array_contains" in re.search(r"PartitionFilters: \[.*", text).group()
+    wide = [p for p in text.split("\n\n") if "ReadSchema" in p and "timestamp" in p.split("ReadSchema")[1]]
+    assert len(wide) == 2
+    assert all("array_contains" in re.search(r"PartitionFilters: \[.*", p).group() for p in wide)
+
+
+def test_latest_reads_the_unit_ids_once(stored, fleet, spark):
+    """The days are found in one job, though both the scan filter and the join need them."""
+    latest = latest_with_ties(stored, fleet)
+    latest.collect()
+    assert "ReusedExchange" in latest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_latest_of_a_plain_table(spark, fleet, stored, capsys):
+    text = plan(latest_with_ties(stored.drop("date"), fleet), capsys)
+    assert text.count("BroadcastHashJoin Inner BuildRight (") >= 2 and "array_contains" not in text
 
 
 def test_latest_without_broadcast_limits_groups_before_the_shuffle(stored, fleet, capsys):
@@ -77,6 +91,14 @@ def test_feed_takes_the_top_without_a_full_sort(spark, stored, fleet, capsys):
     assert "TakeOrderedAndProject" in text
 
 
+def test_feed_reads_alerts_on_the_newest_days_only(spark, stored, fleet, tmp_path, capsys):
+    path = str(tmp_path / "alerts")
+    write_table(alert_ops.alerts_of_all(fleet, stored), path, "alerts")
+    text = plan(alert_ops.alert_feed(read_table(spark, path, "alerts"), fleet), capsys)
+    scans = [p for p in text.split("\n\n") if "ReadSchema" in p and "message" in p]
+    assert len(scans) == 1 and "array_contains" in re.search(r"PartitionFilters: \[.*", scans[0]).group()
+
+
 def test_forecast_keeps_six_rows_per_unit_before_the_shuffle(stored, fleet, capsys):
     text = plan(forecast_do(fleet, stored, NOW), capsys)
     assert "WindowGroupLimit" in text and "PartitionFilters: [isnotnull(date" in text

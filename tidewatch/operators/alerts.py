@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.text import PARAMETER_LABELS, alert_message
 from tidewatch.functions.thresholds import PARAMETERS, may_alert, severity
 from tidewatch.operators.joins import join_unit_names
-from tidewatch.operators.recent import latest_one
+from tidewatch.operators.recent import latest_one, on_days
 
 # Fixed value: length of the alert list.
 FEED_LENGTH = 50
@@ -52,8 +52,21 @@ def alerts_of_all(units: DataFrame, readings: DataFrame) -> DataFrame:
     return raise_alerts(join_unit_names(readings, units))
 
 
+def _on_newest_days(alerts: DataFrame, units: DataFrame, n: int) -> DataFrame:
+    """The days of a day-partitioned table that can hold the ``n`` newest alerts of known units.
+
+    Alerts are counted per day from the unit ids alone; a day counts when fewer
+    than ``n`` alerts are newer. The window sees one row per day.
+    """
+    per_day = join_unit_names(alerts.select("id", "unit_id", "date"), units).groupBy("date").agg(F.count("*").alias("n"))
+    newer = per_day.selectExpr("date", "sum(n) OVER (ORDER BY date DESC) - n AS newer")
+    return on_days(alerts, newer.filter(F.col("newer") < n))
+
+
 def alert_feed(alerts: DataFrame, units: DataFrame, n: int = FEED_LENGTH) -> DataFrame:
     """The ``n`` newest alerts of known units, newest first."""
+    if "date" in alerts.columns:
+        alerts = _on_newest_days(alerts, units, n)
     named = join_unit_names(alerts, units)
     return (
         named.select("id", "unit_id", "unit_name", "parameter", "severity", "message", "timestamp", "is_read")

@@ -43,19 +43,38 @@ def latest_times(readings: DataFrame) -> DataFrame:
     return present.groupBy("unit_id").agg(F.max("timestamp").alias("timestamp"))
 
 
+def on_days(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """Rows of a day-partitioned table on the days in column ``date`` of ``days``.
+
+    The days become one value known before the scan starts, so other partitions
+    are not listed for reading. It has at most one entry per day of the table.
+    """
+    wanted = days.agg(F.collect_set("date"))
+    return rows.filter(F.array_contains(wanted.scalar(), F.col("date")))
+
+
+def _on_latest_days(readings: DataFrame, units: DataFrame) -> DataFrame:
+    """Readings of each known unit's newest day in a day-partitioned table.
+
+    Finding the days reads only the unit ids, as the day is known per file.
+    """
+    days = readings.filter("unit_id IS NOT NULL").groupBy("unit_id").agg(F.max("date").alias("date"))
+    days = days.join(F.broadcast(units.selectExpr("id AS unit_id")), "unit_id")
+    return on_days(readings, days).join(F.broadcast(days), ["unit_id", "date"])
+
+
 def _at_latest_times(readings: DataFrame, units: DataFrame) -> DataFrame:
     """Readings at their unit's newest time, with the unit's name.
 
-    Two narrow passes instead of sorting the whole table: the first finds one
-    time per unit, the second keeps the rows at those times by a broadcast join,
+    Narrow passes instead of sorting the whole table: the first finds one time
+    per unit, the second keeps the rows at those times by a broadcast join,
     which needs neither sort nor shuffle of the readings. The broadcast side has
-    at most one row per known unit. A date-partitioned table is read the second
-    time only on days that hold some unit's newest reading.
+    at most one row per known unit. Of a day-partitioned table, all but each
+    unit's newest day is left out beforehand.
     """
-    keys = latest_times(readings).join(F.broadcast(unit_names(units)), "unit_id")
     if "date" in readings.columns:
-        days = keys.agg(F.collect_set(F.to_date("timestamp")))
-        readings = readings.filter(F.array_contains(days.scalar(), F.col("date")))
+        readings = _on_latest_days(readings, units)
+    keys = latest_times(readings).join(F.broadcast(unit_names(units)), "unit_id")
     return readings.join(F.broadcast(keys), ["unit_id", "timestamp"])
 
 
