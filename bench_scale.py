@@ -44,11 +44,12 @@ def prepare(spark, folder: str, rows: int) -> None:
     )
     fleet.write.mode("overwrite").parquet(f"{folder}/units")
     write_table(spread.unionByName(hot), f"{folder}/readings", "readings", mode="overwrite")
+    readings = read_table(spark, f"{folder}/readings", "readings")
+    write_table(alert_ops.alerts_of_all(fleet, readings), f"{folder}/alerts", "alerts", mode="overwrite")
 
 
-def operators(units, readings):
+def operators(units, readings, alerts):
     """Name and a function building the result; ``wide`` ones may not broadcast the units."""
-    alerts = alert_ops.alerts_of_all(units, readings)
     receipts = readings.filter("id % 7 = 0").selectExpr("if(id % 3 = 0, 35L, id * 5) AS alert_id")
     return {
         "latest_readings": lambda: reading_ops.latest_readings(readings, units),
@@ -59,7 +60,7 @@ def operators(units, readings):
         "band_readings": lambda: reading_ops.band_readings(readings),
         "band_counts": lambda: reading_ops.band_counts(readings),
         "generate_alerts": lambda: alert_ops.generate_alerts(units, readings),
-        "alerts_of_all": lambda: alerts,
+        "alerts_of_all": lambda: alert_ops.alerts_of_all(units, readings),
         "alert_feed": lambda: alert_ops.alert_feed(alerts, units),
         "apply_receipts": lambda: alert_ops.apply_receipts(alerts, receipts),
         "forecast_do": lambda: forecast_do(units, readings, AS_OF),
@@ -106,25 +107,27 @@ def main() -> None:
         "spark.local.dir": folder,
     }
     spark = local_session(cpus=cpus, shuffle_partitions=4 * cpus, memory="20g", more=logging)
-    if not Path(f"{folder}/readings/_SUCCESS").exists():
+    if not Path(f"{folder}/alerts/_SUCCESS").exists():
         prepare(spark, folder, rows)
     units = spark.read.parquet(f"{folder}/units")
     readings = read_table(spark, f"{folder}/readings", "readings")
+    alerts = read_table(spark, f"{folder}/alerts", "alerts")
     hot = readings.groupBy("unit_id").count().agg(F.max("count"), F.sum("count")).first()
     seconds = {}
-    for name, build in operators(units, readings).items():
+    for name, build in operators(units, readings, alerts).items():
         for attempt in ("warm-up", "measured"):
             spark.sparkContext.setJobGroup(f"{name}/{attempt}", name)
             start = time.perf_counter()
             build().write.format("noop").mode("overwrite").save()
             seconds[name] = round(time.perf_counter() - start, 2)
+    spark_version = spark.version
     spark.stop()
     metrics = stage_metrics(log_dir)
     report = {
         name: {"sec": s, **{k: round(v, 2) for k, v in metrics.get(f"{name}/measured", {}).items()}}
         for name, s in seconds.items()
     }
-    print(json.dumps({"rows": hot[1], "hot_unit_rows": hot[0], "cpus": cpus, "operators": report}))
+    print(json.dumps({"rows": hot[1], "hot_unit_rows": hot[0], "cpus": cpus, "spark": spark_version, "operators": report}))
 
 
 if __name__ == "__main__":
