@@ -1,8 +1,8 @@
 """Times the registered queries and prints one JSON line.
 
-BENCH_SF_DIR names the folder of tables, BENCH_CPUS the local cores. Each query
-runs once to warm up, then its time is the median of BENCH_RUNS runs (5) into the
-noop sink. Query names given as arguments restrict the run.
+BENCH_SF_DIR names the folder of tables, BENCH_CPUS the local cores. All
+queries run once to warm up, then a query's time is the median of BENCH_RUNS runs
+(5) into the noop sink. Query names given as arguments restrict the run.
 """
 
 from __future__ import annotations
@@ -30,9 +30,10 @@ def main() -> None:
     queries = all_queries()
     names = sys.argv[1:] or list(queries)
     spark = local_session(cpus=cpus, shuffle_partitions=cpus, memory="16g")
-    seconds = {}
     for name in names:
         timed(queries[name], spark, sf_dir)
+    seconds = {}
+    for name in names:
         seconds[name] = round(statistics.median(timed(queries[name], spark, sf_dir) for _ in range(runs)), 4)
     result = {
         "metric": "total of median query seconds",
