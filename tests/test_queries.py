@@ -25,3 +25,27 @@ def test_query_agrees_with_sql(spark, duck, name):
 
 def test_entry(spark):
     assert driver.entry(spark).count() == 15
+
+
+TIMED = [
+    "latest_readings_ties",
+    "latest_times_per_unit",
+    "latest_documents",
+    "sensor_history_24h",
+    "trend_series",
+    "new_dangers",
+    "forecast_do",
+    "generate_readings",
+    "stream_latest",
+    "stream_new_dangers",
+]
+
+
+@pytest.mark.parametrize("name", TIMED)
+def test_session_time_zone_does_not_matter(spark, name):
+    sf_dir = str(SF_ROOT / "sf0.001")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert compare(driver.queries()[name](spark, sf_dir), connect(sf_dir), driver.oracle_sql()[name]) == []
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

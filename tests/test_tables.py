@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.tables import NOW, ago, alert, alerts, ids, reading, readings, receipts, units
 from tidewatch.operators.alerts import generate_alerts
 from tidewatch.operators.readings import latest_readings, sensor_history, unit_overview
-from tidewatch.operators.recent import since
+from tidewatch.operators.recent import latest_one, latest_with_ties, since
 from tidewatch.schemas import TABLES
 from tidewatch.sources.generator import generate_readings, generate_units
 from tidewatch.sources.tables import (
@@ -54,11 +54,13 @@ def test_stored_and_plain_readings_answer_alike(spark, stored):
         assert sorted(map(str, query(day).collect())) == sorted(map(str, query(plain).collect()))
 
 
-def test_a_unit_silent_for_days_is_still_latest(spark, tmp_path):
+@pytest.mark.parametrize("limit", [None, 0])
+def test_a_unit_silent_for_days_is_still_latest(spark, tmp_path, limit):
     fleet = units(spark, 1, 2)
     path = str(tmp_path / "readings")
     write_table(readings(spark, reading(1, 1, ago(0)), reading(2, 2, ago(90 * 24)), reading(3, 1, ago(48))), path, "readings")
-    assert sorted(ids(latest_readings(read_table(spark, path, "readings"), fleet))) == [1, 2]
+    stored = read_table(spark, path, "readings")
+    assert sorted(ids(latest_with_ties(stored, fleet, limit))) == sorted(ids(latest_one(stored, fleet, limit))) == [1, 2]
 
 
 def test_append_and_overwrite(spark, tmp_path):

@@ -53,14 +53,9 @@ def on_days(rows: DataFrame, days: DataFrame) -> DataFrame:
     return rows.filter(F.array_contains(wanted.scalar(), F.col("date")))
 
 
-def _on_latest_days(readings: DataFrame, units: DataFrame) -> DataFrame:
-    """Readings of each known unit's newest day in a day-partitioned table.
-
-    Finding the days reads only the unit ids, as the day is known per file.
-    """
-    days = readings.filter("unit_id IS NOT NULL").groupBy("unit_id").agg(F.max("date").alias("date"))
-    days = days.join(F.broadcast(units.selectExpr("id AS unit_id")), "unit_id")
-    return on_days(readings, days).join(F.broadcast(days), ["unit_id", "date"])
+def _latest_days(readings: DataFrame) -> DataFrame:
+    """Newest day of each unit. Reads only the unit ids, as the day is known per file."""
+    return readings.filter("unit_id IS NOT NULL").groupBy("unit_id").agg(F.max("date").alias("date"))
 
 
 def _at_latest_times(readings: DataFrame, units: DataFrame) -> DataFrame:
@@ -73,16 +68,24 @@ def _at_latest_times(readings: DataFrame, units: DataFrame) -> DataFrame:
     unit's newest day is left out beforehand.
     """
     if "date" in readings.columns:
-        readings = _on_latest_days(readings, units)
+        days = _latest_days(readings).join(F.broadcast(units.selectExpr("id AS unit_id")), "unit_id")
+        readings = on_days(readings, days).join(F.broadcast(days), ["unit_id", "date"])
     keys = latest_times(readings).join(F.broadcast(unit_names(units)), "unit_id")
     return readings.join(F.broadcast(keys), ["unit_id", "timestamp"])
 
 
+def _that_may_be_latest(readings: DataFrame) -> DataFrame:
+    """For any number of units: all but the days that are some unit's newest left out."""
+    return on_days(readings, _latest_days(readings)) if "date" in readings.columns else readings
+
+
 def latest_with_ties(readings: DataFrame, units: DataFrame, limit: int | None = None) -> DataFrame:
     """All readings at the newest time of each known unit, plus ``unit_name``."""
     if names_fit_broadcast(units, limit):
         return _at_latest_times(readings, units)
-    ranked = readings.selectExpr("*", "rank() OVER (PARTITION BY unit_id ORDER BY timestamp DESC) AS _rank")
+    ranked = _that_may_be_latest(readings).selectExpr(
+        "*", "rank() OVER (PARTITION BY unit_id ORDER BY timestamp DESC) AS _rank"
+    )
     return join_unit_names(ranked.filter("_rank = 1").drop("_rank"), units, limit)
 
 
@@ -90,4 +93,4 @@ def latest_one(readings: DataFrame, units: DataFrame, limit: int | None = None)
     """One newest reading of each known unit, the highest id among ties, plus ``unit_name``."""
     if names_fit_broadcast(units, limit):
         return last_rows(_at_latest_times(readings, units), 1)
-    return join_unit_names(last_rows(readings, 1), units, limit)
+    return join_unit_names(last_rows(_that_may_be_latest(readings), 1), units, limit)
