@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -58,39 +59,48 @@ def _latest_days(readings: DataFrame) -> DataFrame:
     return readings.filter("unit_id IS NOT NULL").groupBy("unit_id").agg(F.max("date").alias("date"))
 
 
-def _at_latest_times(readings: DataFrame, units: DataFrame) -> DataFrame:
-    """Readings at their unit's newest time, with the unit's name.
+def _at_latest_times(readings: DataFrame, names: DataFrame) -> DataFrame:
+    """Readings at their unit's newest time.
 
-    Narrow passes instead of sorting the whole table: the first finds one time
-    per unit, the second keeps the rows at those times by a broadcast join,
-    which needs neither sort nor shuffle of the readings. The broadcast side has
-    at most one row per known unit. Of a day-partitioned table, all but each
-    unit's newest day is left out beforehand.
+    Two passes instead of sorting the whole table: the first finds one time per
+    unit, the second keeps the rows at those times by a broadcast join, which
+    needs neither sort nor shuffle of the readings. The broadcast side has at
+    most one row per known unit.
     """
-    if "date" in readings.columns:
-        days = _latest_days(readings).join(F.broadcast(units.selectExpr("id AS unit_id")), "unit_id")
-        readings = on_days(readings, days).join(F.broadcast(days), ["unit_id", "date"])
-    keys = latest_times(readings).join(F.broadcast(unit_names(units)), "unit_id")
+    keys = latest_times(readings).join(F.broadcast(names), "unit_id")
     return readings.join(F.broadcast(keys), ["unit_id", "timestamp"])
 
 
-def _that_may_be_latest(readings: DataFrame) -> DataFrame:
-    """For any number of units: all but the days that are some unit's newest left out."""
-    return on_days(readings, _latest_days(readings)) if "date" in readings.columns else readings
+def _on_latest_days(readings: DataFrame, names: DataFrame) -> DataFrame:
+    """The same for a day-partitioned table, up to the day: a cheaper first pass, and few files in the second."""
+    days = _latest_days(readings).join(F.broadcast(names), "unit_id")
+    return on_days(readings, days).join(F.broadcast(days), ["unit_id", "date"])
+
+
+def _newest(
+    readings: DataFrame, units: DataFrame, limit: int | None, pick: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Applies ``pick`` to a part of the readings that has all newest ones, and adds ``unit_name``."""
+    dated = "date" in readings.columns
+    if names_fit_broadcast(units, limit):
+        narrow = _on_latest_days if dated else _at_latest_times
+        return pick(narrow(readings, unit_names(units)))
+    rows = on_days(readings, _latest_days(readings)) if dated else readings
+    return join_unit_names(pick(rows), units, limit)
+
+
+def _newest_ties(rows: DataFrame) -> DataFrame:
+    ranked = rows.selectExpr("*", "rank() OVER (PARTITION BY unit_id ORDER BY timestamp DESC) AS _rank")
+    return ranked.filter("_rank = 1").drop("_rank")
 
 
 def latest_with_ties(readings: DataFrame, units: DataFrame, limit: int | None = None) -> DataFrame:
     """All readings at the newest time of each known unit, plus ``unit_name``."""
-    if names_fit_broadcast(units, limit):
-        return _at_latest_times(readings, units)
-    ranked = _that_may_be_latest(readings).selectExpr(
-        "*", "rank() OVER (PARTITION BY unit_id ORDER BY timestamp DESC) AS _rank"
-    )
-    return join_unit_names(ranked.filter("_rank = 1").drop("_rank"), units, limit)
+    if "date" not in readings.columns and names_fit_broadcast(units, limit):
+        return _at_latest_times(readings, unit_names(units))
+    return _newest(readings, units, limit, _newest_ties)
 
 
 def latest_one(readings: DataFrame, units: DataFrame, limit: int | None = None) -> DataFrame:
     """One newest reading of each known unit, the highest id among ties, plus ``unit_name``."""
-    if names_fit_broadcast(units, limit):
-        return last_rows(_at_latest_times(readings, units), 1)
-    return join_unit_names(last_rows(_that_may_be_latest(readings), 1), units, limit)
+    return _newest(readings, units, limit, lambda rows: last_rows(rows, 1))
