@@ -89,3 +89,15 @@ def test_new_dangers(spark):
     # one that left the list and came back is reported again
     empty = alert_feed(alerts(spark, alert(9, timestamp=NOW)), fleet)
     assert sorted(ids(new_dangers(after, empty))) == [1, 2, 3]
+
+
+def test_null_is_read_counts_as_unread_and_null_time_is_in_no_feed(spark):
+    table = alerts(spark, alert(1, severity="danger"), alert(2, severity="danger")).selectExpr(
+        "id", "unit_id", "parameter", "severity", "message", "if(id = 2, NULL, timestamp) AS timestamp", "if(id = 1, NULL, is_read) AS is_read"
+    )
+    from tidewatch.operators.alerts import unread_dangers
+
+    assert sorted(ids(unread_dangers(table))) == [1, 2]
+    for feed in (table, table.selectExpr("*", "to_date(timestamp) AS date")):
+        assert ids(alert_feed(feed, units(spark, 1))) == [1]
+    assert ids(critical_alert(alert_feed(table, units(spark, 1)))) == [1]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.text import PARAMETER_LABELS, alert_message
 from tidewatch.functions.thresholds import PARAMETERS, may_alert, severity
-from tidewatch.operators.joins import join_unit_names
+from tidewatch.operators.joins import join_unit_names, names_fit_broadcast, unit_names
 from tidewatch.operators.recent import latest_one, on_days
 
 # Fixed value: length of the alert list.
@@ -55,16 +55,20 @@ def alerts_of_all(units: DataFrame, readings: DataFrame) -> DataFrame:
 def _on_newest_days(alerts: DataFrame, units: DataFrame, n: int) -> DataFrame:
     """The days of a day-partitioned table that can hold the ``n`` newest alerts of known units.
 
-    Alerts are counted per day from the unit ids alone; a day counts when fewer
-    than ``n`` alerts are newer. The window sees one row per day.
+    Alerts are counted per day and unit before units are joined; a day counts when
+    fewer than ``n`` alerts are newer. The window sees one row per day.
     """
-    per_day = join_unit_names(alerts.select("id", "unit_id", "date"), units).groupBy("date").agg(F.count("*").alias("n"))
+    per_unit = alerts.groupBy("date", "unit_id").agg(F.count("*").alias("n"))
+    names = unit_names(units)
+    names = F.broadcast(names) if names_fit_broadcast(units) else names
+    per_day = per_unit.join(names, "unit_id").groupBy("date").agg(F.sum("n").alias("n"))
     newer = per_day.selectExpr("date", "sum(n) OVER (ORDER BY date DESC) - n AS newer")
     return on_days(alerts, newer.filter(F.col("newer") < n))
 
 
 def alert_feed(alerts: DataFrame, units: DataFrame, n: int = FEED_LENGTH) -> DataFrame:
-    """The ``n`` newest alerts of known units, newest first."""
+    """The ``n`` newest alerts of known units, newest first; alerts without a time are in no feed."""
+    alerts = alerts.filter("timestamp IS NOT NULL")
     if "date" in alerts.columns:
         alerts = _on_newest_days(alerts, units, n)
     named = join_unit_names(alerts, units)
@@ -76,13 +80,13 @@ def alert_feed(alerts: DataFrame, units: DataFrame, n: int = FEED_LENGTH) -> Dat
 
 
 def unread_dangers(alerts: DataFrame) -> DataFrame:
-    return alerts.filter("severity = 'danger' AND NOT is_read")
+    return alerts.filter("severity = 'danger' AND NOT coalesce(is_read, false)")
 
 
 def critical_alert(feed: DataFrame) -> DataFrame:
     """The unread alert of a feed to show first: danger, then warn, then any; at most one row."""
     urgency = F.expr("CASE severity WHEN 'danger' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END")
-    return feed.filter("NOT is_read").orderBy(urgency, F.desc("timestamp"), F.desc("id")).limit(1)
+    return feed.filter("NOT coalesce(is_read, false)").orderBy(urgency, F.desc("timestamp"), F.desc("id")).limit(1)
 
 
 def new_dangers(feed: DataFrame, previous_feed: DataFrame | None = None) -> DataFrame:

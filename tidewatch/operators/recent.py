@@ -95,12 +95,17 @@ def _newest_ties(rows: DataFrame) -> DataFrame:
 
 
 def latest_with_ties(readings: DataFrame, units: DataFrame, limit: int | None = None) -> DataFrame:
-    """All readings at the newest time of each known unit, plus ``unit_name``."""
+    """All readings at the newest time of each known unit, plus ``unit_name``; readings without a time do not count."""
+    readings = readings.filter("timestamp IS NOT NULL")
     if "date" not in readings.columns and names_fit_broadcast(units, limit):
         return _at_latest_times(readings, unit_names(units))
     return _newest(readings, units, limit, _newest_ties)
 
 
 def latest_one(readings: DataFrame, units: DataFrame, limit: int | None = None) -> DataFrame:
-    """One newest reading of each known unit, the highest id among ties, plus ``unit_name``."""
+    """One newest reading of each known unit, the highest id among ties, plus ``unit_name``.
+
+    Readings without a time do not count.
+    """
+    readings = readings.filter("timestamp IS NOT NULL")
     return _newest(readings, units, limit, lambda rows: last_rows(rows, 1))

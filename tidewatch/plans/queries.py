@@ -337,9 +337,9 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def stream_new_dangers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every alert arrives twice. The delay spans the table, whose files come in no order."""
+    """Every alert arrives twice."""
     alerts = fx.alerts_of(fx.readings_of(_event_stream(spark, sf_dir)))
-    return _append_and_read(spark, live.stream_new_dangers(alerts.unionByName(alerts), delay="3650 days"))
+    return _append_and_read(spark, live.stream_new_dangers(alerts.unionByName(alerts)))
 
 
 @_query

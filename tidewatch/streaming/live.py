@@ -31,22 +31,23 @@ def stream_alerts(readings: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def stream_new_dangers(alerts: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each unread danger once.
+    """Each unread danger once, however late it arrives.
 
-    Ids are remembered until the watermark, ``delay`` behind the newest time
-    seen, has passed them. A poll would report an alert again after it had left
-    the list and come back; the stream does not.
+    An id is remembered for ``delay`` after its arrival; the alert's own time plays
+    no part, so that no danger is too late. A repeat that arrives after that is
+    reported again, as a poll does with an alert that left the list and came back.
     """
-    timed = unread_dangers(alerts).withColumn("_event_time", F.col("timestamp").cast("timestamp"))
-    return timed.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(["id"]).drop("_event_time")
+    timed = unread_dangers(alerts).withColumn("_arrived", F.current_timestamp())
+    return timed.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(["id"]).drop("_arrived")
 
 
 def stream_latest(readings: DataFrame) -> DataFrame:
     """The newest reading per unit, for update mode; the highest id wins a tie.
 
     State is one row per unit, and every task reduces its part of a batch to one
-    row per unit before the shuffle.
+    row per unit before the shuffle. Readings without a unit are left out.
     """
+    readings = readings.filter("unit_id IS NOT NULL")
     newest = f"max_by(struct({', '.join(READINGS.names)}), struct(timestamp, id)) AS _newest"
     return readings.groupBy("unit_id").agg(F.expr(newest)).select("_newest.*")
 
@@ -56,8 +57,13 @@ def latest_writer(readings: DataFrame, path: str) -> DataStreamWriter:
     table = latest_table(path)
 
     def merge(updates: DataFrame, batch_id: int) -> None:
-        untouched = table.before(updates.sparkSession, batch_id).join(updates, "unit_id", "left_anti")
-        table.replace(untouched.unionByName(updates), batch_id)
+        # Used twice below; the state must run once per batch.
+        updates = updates.persist()
+        try:
+            untouched = table.before(updates.sparkSession, batch_id).join(updates, "unit_id", "left_anti")
+            table.replace(untouched.unionByName(updates), batch_id)
+        finally:
+            updates.unpersist()
 
     return stream_latest(readings).writeStream.outputMode("update").foreachBatch(merge)
 

@@ -13,7 +13,8 @@ class SnapshotTable:
 
     Batch ``n`` reads what batch ``n - 1`` left and overwrites the other folder.
     When a batch is run again after a failure it finds the same input, and the
-    result is the same. Each row carries the number of the batch that wrote it.
+    result is the same. Each row carries the number of the batch that wrote it, and
+    a marker beside the folder says, once its write has finished, which batch it holds.
     """
 
     def __init__(self, path: str, schema: T.StructType):
@@ -33,17 +34,17 @@ class SnapshotTable:
     def replace(self, rows: DataFrame, batch_id: int) -> None:
         stamped = rows.select(*self.schema.names).withColumn("batch_id", F.lit(batch_id).cast("long"))
         stamped.write.mode("overwrite").parquet(self._folder(batch_id))
+        done = rows.sparkSession.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"))
+        done.write.mode("overwrite").parquet(f"{self.path}/done-{batch_id % 2}")
 
     def current(self, spark: SparkSession) -> DataFrame:
         """The rows of the newest finished batch."""
-        folders = []
+        finished = []
         for turn in (0, 1):
             try:
-                folders.append(spark.read.schema(self._stored).parquet(self._folder(turn)))
-            except AnalysisException:  # this folder has not been written yet
+                finished += spark.read.schema("batch_id long").parquet(f"{self.path}/done-{turn}").collect()
+            except AnalysisException:  # no batch of this turn has finished yet
                 pass
-        if not folders:
+        if not finished:
             return spark.createDataFrame([], self.schema)
-        both = folders[0] if len(folders) == 1 else folders[0].unionByName(folders[1])
-        newest = both.agg(F.max("batch_id"))
-        return both.filter(F.col("batch_id") == newest.scalar()).drop("batch_id")
+        return self.before(spark, max(row["batch_id"] for row in finished) + 1)
