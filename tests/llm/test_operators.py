@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -81,6 +82,16 @@ def test_decontamination_finds_substitutions(spark, odd, none):
     assert decontaminate.benchmark_overlaps(none, bench).count() == 0
 
 
+@pytest.mark.parametrize("size", [5, 6, 8, 10, 11, 12, 13, 18])
+def test_masks_miss_no_substitutions(size):
+    item = [f"w{i}" for i in range(size)]
+    seeds = decontaminate.Seeds([(1, " ".join(item))])
+    need = min(size, decontaminate.OVERLAP)
+    for changed in combinations(range(need), need // 5):
+        words = ["other" if i in changed else w for i, w in enumerate(item[:need])]
+        assert [m[0] for m in seeds.matches(f"x y {' '.join(words)} z")] == [1]
+
+
 def test_mix_nears_targets(spark, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.mix(odd).count() == odd.count()
     docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', int(id % 90) + 1) AS text", "if(id % 3 = 0, 'a', if(id % 3 = 1, 'b', NULL)) AS source")

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import text_or_empty
 
-#: Token positions a seed reads (1) and ignores (0). A passage with one substituted
-#: token in five still has unbroken read positions in some mask.
+#: Token positions a seed reads (1) and ignores (0). With one token in five substituted,
+#: wherever it is, an overlap of 12 or more tokens leaves the read positions of some mask whole.
 MASKS = ("11101101", "11011011", "1010110011", "110100010111", "11111")
+#: Items with fewer tokens than this are sought by short masks as well, which do the same from SHORTEST on.
+SHORT_ITEM = 12
+SHORT_MASKS = ("111", "1011")
 #: An overlap counts from this many tokens on (or the whole item, if shorter), with this share of equal tokens.
 OVERLAP, SHARE = 13, 0.8
 #: Items with fewer tokens are no evidence and match nothing.
@@ -47,8 +50,8 @@ class Seeds:
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, t) for i, t in ((i, token_hashes(text)) for i, text in items) if len(t) >= SHORTEST]
         self.tables = []
-        for mask in MASKS:
-            parts = [seed_hashes(t, mask) for _, t in self.items]
+        for mask in (*MASKS, *SHORT_MASKS):
+            parts = [seed_hashes(t if mask in MASKS or len(t) < SHORT_ITEM else t[:0], mask) for _, t in self.items]
             hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             at = np.concatenate([np.arange(len(p)) for p in parts]) if parts else owner
