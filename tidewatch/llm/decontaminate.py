@@ -24,6 +24,8 @@ OVERLAP, SHARE = 13, 0.8
 SHORTEST = 5
 #: Benchmark rows taken into one pass over the corpus; larger benchmarks are passed in blocks.
 ITEMS_PER_PASS = 20_000
+#: Seed hashes are looked up only where these leading bits are those of some item's seed.
+LEADING_BITS = 18
 
 
 def token_hashes(text: str | None) -> np.ndarray:
@@ -56,18 +58,24 @@ class Seeds:
             owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             at = np.concatenate([np.arange(len(p)) for p in parts]) if parts else owner
             order = np.argsort(hashes, kind="stable")
-            self.tables.append((mask, hashes[order], owner[order], at[order]))
+            leading = np.zeros(1 << LEADING_BITS, np.bool_)
+            leading[hashes >> np.uint64(64 - LEADING_BITS)] = True
+            self.tables.append((mask, leading, hashes[order], owner[order], at[order]))
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, float]]:
         """(item_id, first token, tokens, share of equal tokens) of the best verified overlap per item."""
         tokens = token_hashes(text)
         diagonals: set[tuple[int, int]] = set()
-        for mask, hashes, owner, at in self.tables:
+        for mask, leading, hashes, owner, at in self.tables:
+            if not len(hashes):
+                continue
             own = seed_hashes(tokens, mask)
+            places = np.flatnonzero(leading[own >> np.uint64(64 - LEADING_BITS)])
+            own = own[places]
             low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
-            for pos in np.flatnonzero(high > low):
-                for k in range(low[pos], high[pos]):
-                    diagonals.add((int(owner[k]), int(pos - at[k])))
+            for pos, first, end in zip(places.tolist(), low.tolist(), high.tolist()):
+                for k in range(first, end):
+                    diagonals.add((int(owner[k]), pos - int(at[k])))
         best: dict[int, tuple[int, int, float]] = {}
         for item, shift in diagonals:
             found = self._verified(tokens, self.items[item][1], shift)
