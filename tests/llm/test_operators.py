@@ -138,6 +138,20 @@ def test_syncmer_rows(spark, odd, none):
     assert all(r["next_text"] == texts[(r["doc_id"] - 1) % 8] for r in ordered)
 
 
+def test_short_texts_have_anchors(spark):
+    texts = [(n, turn, " ".join(f"w{n}x{turn}x{i}" for i in range(n))) for n in range(1, 15) for turn in range(20)]
+    given = spark.createDataFrame([(i, text) for i, (_, _, text) in enumerate(texts)], "doc_id long, text string")
+    found = given.select("text", syncmers.anchors(F.col("text")).alias("a")).select(
+        "text", syncmers.printed(F.col("a")).alias("print"), syncmers.likeness(F.col("a"), F.col("a")).alias("like")
+    )
+    got = found.collect()
+    assert all(r["print"] and r["like"] == 1 for r in got) and len({r["print"] for r in got}) == len(texts)
+    copies = syncmers.fingerprints(given.where("doc_id % 20 = 0").select((F.col("doc_id") * 2).alias("doc_id"), "text").unionByName(
+        given.where("doc_id % 20 = 0").select((F.col("doc_id") * 2 + 1).alias("doc_id"), "text")
+    ))
+    assert [r["near_next"] for r in copies.where("doc_id % 2 = 1").collect()] == [1.0] * 14
+
+
 def test_token_counts_equal_plain_dynamic_programming():
     scores = {"a": -1.0, "b": -2.0, "ab": -2.5, "abc": -9.0, "▁a": -1.5, "▁": -3.0}
 

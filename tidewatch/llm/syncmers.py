@@ -19,8 +19,9 @@ def anchors(text: Column) -> Column:
 
     A k-mer of words is taken if the smallest hash among its inner strings is its
     first or last one. Whether it is taken depends on its own words alone, so that an
-    edit changes only the anchors of the k-mers that it touches. A text of fewer words
-    than a k-mer has its whole word sequence as the one anchor.
+    edit changes only the anchors of the k-mers that it touches. Some k-mer is taken in
+    every text of 14 words and more. A text without one, of fewer words than a k-mer or
+    with no k-mer taken, has its whole word sequence as the one anchor.
     """
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     hashed = F.transform(words, lambda w: F.xxhash64(w))
@@ -30,8 +31,10 @@ def anchors(text: Column) -> Column:
 def _of_words(words: Column) -> Column:
     twos = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
     inner = F.zip_with(twos, F.slice(words, 3, F.size(words)), lambda a, b: F.xxhash64(a, b))
-    return F.when(F.size(words) < K, F.array(F.xxhash64(words))).otherwise(
-        F.flatten(F.transform(F.array(F.slice(inner, 1, F.size(words) - S + 1)), _edge_minima))
+    whole = F.array(F.xxhash64(words))
+    chosen = F.transform(F.array(F.slice(inner, 1, F.size(words) - S + 1)), _edge_minima)
+    return F.when(F.size(words) < K, whole).otherwise(
+        F.flatten(F.transform(chosen, lambda a: F.when(F.size(a) > 0, a).otherwise(whole)))
     )
 
 
