@@ -183,3 +183,21 @@ def test_license_scan(spark, odd, none):
     docs = spark.createDataFrame(rows(STORY + ". Released under the MIT License. More.", STORY, None, "under the MIT License"), SCHEMA)
     assert [(r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs).collect()] == [(0, "MIT")]
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(none).count() == 0
+
+
+def test_license_counts_equal_brute_force(spark):
+    def grams(text):
+        words = re.findall(r"[^\W_]+", text.lower())
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    notices = [(f"L{n}", " ".join(f"n{n}t{t}w{w}" for w in range(n + 4))) for n in range(1, 8) for t in range(30)]
+    texts = [" ".join([f"a{k}x{i}" for i in range(k % 7)] + [t] + [f"z{k}x{i}" for i in range(k % 4)]) for k, (_, t) in enumerate(notices)]
+    texts += [t.rsplit(" ", 1)[0] + f" other {k}" for k, (_, t) in enumerate(notices)]
+    found = licenses.scan_licenses(spark.createDataFrame(rows(*texts), SCHEMA), tuple(notices)).collect()
+    wanted = {}
+    for d, t in enumerate(texts):
+        mine = grams(t)
+        of = grams(notices[d % len(notices)][1])
+        if len(mine & of) >= 0.8 * len(of):
+            wanted[d, d % len(notices)] = (len(mine & of), len(of))
+    assert {(r["doc_id"], r["template"]): (r["matched"], r["shingles"]) for r in found} == wanted and len(wanted) > len(notices)

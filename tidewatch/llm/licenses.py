@@ -1,4 +1,4 @@
-"""License scans by MinHash over overlapping windows; DataFrame functions only."""
+"""License scans by shared shingles; DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -17,11 +17,6 @@ TEMPLATES = (
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
 )
 SHINGLE = 5
-#: A window holds WINDOW shingles; with overlapping words, each shingle lies in one window.
-WINDOW = 5
-#: One row per band: a window that shares one shingle in five with a template meets it
-#: in some band with probability 1 - 0.8^32 = 0.999, at half its shingles almost surely.
-BANDS = 32
 CONTAINED = 0.8
 
 
@@ -37,27 +32,14 @@ def _hashed(words: Column) -> Column:
     )
 
 
-def _windows(rows: DataFrame, key: str) -> DataFrame:
-    """One row per window: its shingles as columns h0 to h4, short last windows repeated from their first."""
-    hashed = rows.select(key, _shingles(text_or_empty()).alias("h")).where(F.size("h") > 0)
-    starts = F.sequence(F.lit(1), F.size("h"), F.lit(WINDOW))
-    cut = hashed.select(key, F.explode(F.transform(starts, lambda i: F.slice("h", i, WINDOW))).alias("w"))
-    return cut.select(key, *[F.coalesce(F.get("w", F.lit(i)), F.get("w", F.lit(0))).alias(f"h{i}") for i in range(WINDOW)])
-
-
-def _bands(windows: DataFrame, *keep: str) -> DataFrame:
-    """The smallest shingle under each of the fixed permutations: flipped bits, then the order of numbers."""
-    mask = [(0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64) for k in range(BANDS)]
-    sig = [F.least(*[F.col(f"h{i}").bitwiseXOR(F.lit(m - (1 << 64) if m >> 63 else m)) for i in range(WINDOW)]) for m in mask]
-    return windows.select(*keep, F.explode(F.array(*sig)).alias("sig"))
-
-
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """doc_id, template, license, matched, shingles, containment of every verified match.
 
-    ``template`` numbers the notices, which are a parameter and small. Bands retrieve
-    windows; of these, the shingles equal to the template's are counted. A document
-    matches if it has ``contained`` of the template's distinct shingles. Texts with
+    ``template`` numbers the notices, which are a parameter and small. Every shingle of
+    every document is looked up among those of the notices: this is MinHash with windows
+    of one shingle, whose only minimum is the shingle itself, so that a document and a
+    notice with a common shingle meet with probability 1 and the containment is exact. A
+    document matches if it has ``contained`` of the template's distinct shingles. Texts with
     fewer words than a shingle, null and empty ones match nothing, nor do notices of
     fewer words. Rows of one id count as one document, null ids as one.
     """
@@ -65,12 +47,8 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     given = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(templates)], "template int, license string, text string")
     known = given.select("template", F.explode(F.array_distinct(_shingles(F.col("text")))).alias("shingle"))
     sizes = known.groupBy("template").agg(F.count("*").alias("shingles")).join(given.select("template", "license"), "template")
-    signs = _bands(_windows(given, "template"), "template").distinct()
-    windows = _windows(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id")
-    columns = [f"h{i}" for i in range(WINDOW)]
-    met = _bands(windows, "doc_id", *columns).join(F.broadcast(signs), "sig")
-    parts = met.select("doc_id", "template", F.explode(F.array(*columns)).alias("shingle"))
-    exact = parts.join(F.broadcast(known), ["template", "shingle"]).groupBy("doc_id", "template").agg(F.countDistinct("shingle").alias("matched"))
+    shingles = docs.select(F.col("doc_id").cast("long"), F.explode(_shingles(text_or_empty())).alias("shingle"))
+    exact = shingles.join(F.broadcast(known), "shingle").groupBy("doc_id", "template").agg(F.countDistinct("shingle").alias("matched"))
     share = F.col("matched") / F.col("shingles")
     return (
         exact.join(F.broadcast(sizes), "template")
