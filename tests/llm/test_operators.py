@@ -179,6 +179,30 @@ def test_surrogates_are_distinct_and_consistent():
     assert surrogates.replace(None, key) == (None, []) and surrogates.replace("", key) == ("", [])
 
 
+@pytest.mark.parametrize("name", ["Dr. Иванов", "Frau Öz", "Mr. Al", "Herr Ñandú", "Mrs. Παπαδοπούλου", "Señora Żółć", "Dr. 王伟", "Dr. Ёж"])
+def test_names_of_any_script_are_replaced(name):
+    for n in range(40):
+        new, spans = surrogates.replace(f"by {name} today", str(n).encode())
+        title, old = name.split(" ")
+        now = new.removeprefix(f"by {title} ").removesuffix(" today")
+        assert len(spans) == 1 and spans[0][3] == f"{title} {now}" and now != old and len(now) == len(old)
+        assert [c.isupper() for c in now] == [c.isupper() for c in old]
+
+
+def test_surrogates_differ_from_their_values_and_each_other():
+    octets = ("0", "1", "9", "10", "255", "00", "01", "09", "001", "010")
+    for key in (b"a", b"b", b"c"):
+        for kind, values in {
+            "name": [f"Mr. {a}{b}l" for a in "AEIOUÄÖÜИЖ" for b in ("", "a", "ß", "ñ", "ç", "å", "ж")],
+            "ip": [f"{a}.{b}.0.1" for a in octets for b in octets],
+            "card": [f"٤{i:013d}{c}" for i in range(20) for c in "0123456789٠١٢٣٤٥٦٧٨٩"],
+        }.items():
+            made = {v: surrogates.surrogate(v, kind, key) for v in values}
+            assert len(set(made.values())) == len(values) and all(v != m for v, m in made.items())
+    new, spans = surrogates.replace("10.0.0.1 and 10.0.0.01 and 010.000.000.001", b"k")
+    assert [s[2] for s in spans] == ["ip"] * 3 and len({s[3] for s in spans}) == 3
+
+
 def test_license_scan(spark, odd, none):
     docs = spark.createDataFrame(rows(STORY + ". Released under the MIT License. More.", STORY, None, "under the MIT License"), SCHEMA)
     assert [(r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs).collect()] == [(0, "MIT")]

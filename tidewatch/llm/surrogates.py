@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import hmac
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,56 +14,117 @@ from pyspark.sql import functions as F
 
 KINDS = (
     ("email", r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[\w-]+(?:\.[\w-]+)+"),
-    ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
+    ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?![\d.]*\d)"),
     ("card", r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"),
     ("phone", r"(?<![\w.])\+\d{1,3} ?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,4}(?!\d)"),
     ("ssn", r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"),
     ("name", r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? [^\W\d_a-z][^\W\d_]+(?: [^\W\d_a-z][^\W\d_]+)?"),
 )
 FOUND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS))
-#: Letters change within their class, which keeps script and the sound of a name.
-CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóú", "äöü", "èêàâôù")
+#: Letters change within their class, which keeps script and the sound of a name; upper case likewise.
+LOWER = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "äöü", "èêàâôù", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ", "аеёиоуыэюяіїє", "бвгґджзйклмнпрстфхцчшщ", "ъь")
+CLASSES = ("0123456789", *LOWER, *[k.upper() for k in LOWER])
 CLASS_OF = {c: k for k in CLASSES for c in k}
 
 
-def _shuffle(values: list[int], sizes: list[int], key: bytes, tweak: str) -> list[int]:
-    """A keyed permutation of all value lists with these sizes: a Feistel network over mixed radices."""
+#: Classes of the characters met so far; a function cache could not travel to the executors.
+MET = dict(CLASS_OF)
+
+
+def _class_of(c: str) -> str:
+    """All letters or digits that may stand for this one; every one of them has the same class. Empty for other characters.
+
+    Letters outside CLASSES change within their category (upper case, lower case, other)
+    and block of 256 characters, digits of other scripts among their ten.
+    """
+    if c not in MET:
+        MET[c] = _other_class(c)
+    return MET[c]
+
+
+def _other_class(c: str) -> str:
+    if not c.isalnum():
+        return ""
+    category = unicodedata.category(c)
+    if category == "Nd":
+        return "".join(chr(ord(c) - unicodedata.decimal(c) + i) for i in range(10))
+    own = _block(ord(c) >> 8, category)
+    if len(own) > 1:
+        return own
+    # The only one of its block changes with those of other blocks.
+    blocks = (_block(i, category) for i in range((sys.maxunicode >> 8) + 1))
+    return "".join(b for b in blocks if len(b) == 1)
+
+
+def _block(number: int, category: str) -> str:
+    chars = map(chr, range(number << 8, (number + 1) << 8))
+    return "".join(c for c in chars if c not in CLASS_OF and unicodedata.category(c) == category and c.isalnum())
+
+
+def _turns(values: list[int], sizes: list[int], key: bytes, tweak: str, back: bool = False) -> list[int]:
+    """A keyed permutation of all value lists with these sizes, or its inverse: a Feistel network over mixed radices."""
     half = len(values) // 2
     values = list(values)
-    for turn in range(6):
+    for turn in range(6)[:: -1 if back else 1]:
         fixed, moved = (range(half), range(half, len(values)))[:: 1 if turn % 2 == 0 else -1]
         seed = f"{tweak}|{turn}|{','.join(str(values[i]) for i in fixed)}".encode()
         for i in moved:
-            draw = hmac.new(key, seed + b"|" + str(i).encode(), hashlib.sha256).digest()
-            values[i] = (values[i] + int.from_bytes(draw[:8], "big")) % sizes[i]
+            draw = int.from_bytes(hmac.digest(key, seed + b"|" + str(i).encode(), "sha256")[:8], "big")
+            values[i] = (values[i] + (-draw if back else draw)) % sizes[i]
     return values
 
 
+def _shuffle(values: list[int], sizes: list[int], key: bytes, tweak: str) -> list[int]:
+    """A keyed permutation that leaves no list of values as it is: one step along a keyed order of all lists."""
+    values = _turns(values, sizes, key, tweak)
+    for i in reversed(range(len(values))):
+        values[i] = (values[i] + 1) % sizes[i]
+        if values[i]:
+            break
+    return _turns(values, sizes, key, tweak, back=True)
+
+
 def _letters(text: str, kind: str, key: bytes) -> str:
     """Letters and digits replaced within their class; everything else, and so the form, stays."""
-    places = [i for i, c in enumerate(text) if c in CLASS_OF]
+    classes = [_class_of(c) for c in text]
+    places = [i for i, k in enumerate(classes) if k]
     if not places:
         return text
-    classes = [CLASS_OF[text[i]] for i in places]
-    form = "".join(str(CLASSES.index(CLASS_OF[c])) if c in CLASS_OF else c for c in text)
-    moved = _shuffle([k.index(text[i]) for i, k in zip(places, classes)], [len(k) for k in classes], key, f"{kind}|{form}")
+    form = "".join(k[0] if k else c for c, k in zip(text, classes))
+    moved = _shuffle([classes[i].index(text[i]) for i in places], [len(classes[i]) for i in places], key, f"{kind}|{form}")
     out = list(text)
-    for i, k, v in zip(places, classes, moved):
-        out[i] = k[v]
+    for i, v in zip(places, moved):
+        out[i] = classes[i][v]
     return "".join(out)
 
 
+def _octets(value: str, key: bytes) -> str:
+    """An address in the same form: octets keep their leading zeros, so that 1, 01 and 001 stay apart."""
+    parts = value.split(".")
+    padded = [len(p) > 1 and p[0] == "0" for p in parts]
+    sizes = [10 ** (len(p) - 1) if z else 256 for p, z in zip(parts, padded)]
+    form = ".".join(str(len(p)) if z else "" for p, z in zip(parts, padded))
+    moved = _shuffle([int(p) for p in parts], sizes, key, f"ip|{form}")
+    return ".".join(str(v).zfill(len(p)) if z else str(v) for p, z, v in zip(parts, padded, moved))
+
+
 def _luhn(digits: str) -> int:
     """What is missing to the check digit of these leading digits."""
     total = sum(int(d) if i % 2 else (2 * int(d) - 9 * (int(d) > 4)) for i, d in enumerate(reversed(digits)))
     return -total % 10
 
 
+def _name(name: str, key: bytes) -> str:
+    """Title and last letter carry the gender; scripts without case have no such letter."""
+    if unicodedata.category(name[-1]) in ("Lu", "Ll", "Lt"):
+        return _letters(name[:-1], f"name{name[-1]}", key) + name[-1]
+    return _letters(name, "name", key)
+
+
 def surrogate(value: str, kind: str, key: bytes) -> str:
     """The replacement of an entity: the same everywhere, and another for every other entity of its kind and form."""
     if kind == "ip":
-        parts = [int(p) for p in value.split(".")]
-        return ".".join(map(str, _shuffle(parts, [256] * 4, key, "ip")))
+        return _octets(value, key) if value.isascii() else _letters(value, kind, key)
     if kind == "email":
         local, domain = value.rsplit("@", 1)
         labels = domain.split(".")
@@ -74,7 +136,7 @@ def surrogate(value: str, kind: str, key: bytes) -> str:
         if _luhn(digits[:-1]) == int(digits[-1]):
             at = [i for i, c in enumerate(value) if c.isdigit()][-1]
             front = _letters(value[:at], "card", key)
-            return front + str(_luhn(re.sub(r"\D", "", front)))
+            return front + _class_of(value[at])[_luhn(re.sub(r"\D", "", front))]
         # Numbers without a valid check digit stay without one: the next of the walk is taken.
         while True:
             value = _letters(value, "number", key)
@@ -86,8 +148,8 @@ def surrogate(value: str, kind: str, key: bytes) -> str:
         return country + _letters(rest, f"phone{country}", key)
     if kind == "name":
         title, *names = value.split(" ")
-        # Title and last letter carry the gender; every name is replaced by itself, so that parts agree.
-        return " ".join([title, *[_letters(n[:-1], f"name{n[-1]}", key) + n[-1] for n in names]])
+        # Every name is replaced by itself, so that parts agree.
+        return " ".join([title, *[_name(n, key) for n in names]])
     return _letters(value, kind, key)
 
 
