@@ -110,6 +110,26 @@ def test_shards_are_gapless_and_even(spark, odd, none):
     assert max(r["b"] for r in per) < 1.1 * min(r["b"] for r in per)
 
 
+def test_stored_layout_is_resharded_to_capacities(spark, tmp_path):
+    docs = spark.range(1200).selectExpr("id AS doc_id", "concat('text ', 1000 + id) AS text", "int(id % 3) AS shard")
+    docs.write.partitionBy("shard").parquet(str(tmp_path / "old"))
+    stored = spark.read.parquet(str(tmp_path / "old"))
+    placed = sharding.place(stored, old=F.col("shard"), capacities=[2, 1, 2, 1]).cache()
+    sizes = {r["shard"]: r["sum(size)"] for r in placed.groupBy("shard").sum("size").collect()}
+    total = sum(sizes.values())
+    assert all(abs(sizes[j] - total * c / 6) < 0.02 * total for j, c in enumerate([2, 1, 2, 1]))
+    moved = placed.where("old_shard != shard").agg(F.sum("size")).first()[0]
+    assert moved <= total / 6 * 1.05
+    changed = sharding.rewrite(placed, str(tmp_path / "new"))
+    assert changed == [1, 3]
+    new = spark.read.parquet(str(tmp_path / "new"))
+    whole = stored.where(~F.col("shard").isin(changed)).select("doc_id", "text").unionByName(new.select("doc_id", "text"))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, stored.select("doc_id", "text").collect()))
+    assert {r["shard"] for r in new.select("shard").distinct().collect()} == {1, 3}
+    fresh = sharding.place(stored, old=F.when(F.col("shard") > 0, F.col("shard")), capacities=[0, 1, 1])
+    assert {r["shard"] for r in fresh.select("shard").distinct().collect()} == {1, 2} and fresh.count() == 1200
+
+
 def test_classifiers_learn_and_take_any_text(spark, odd, none):
     data = [(i, f"{STORY} {'you idiot' if i % 2 else ''} {i}", i % 2) for i in range(60)]
     machine = toxicity.FactorizationMachine().fit(data)

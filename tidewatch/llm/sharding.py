@@ -35,17 +35,21 @@ def min_cost_flow(supply: list[int], room: list[int]) -> dict[tuple[int, int], i
     return flow
 
 
-def plan_blocks(blocks: list[tuple[int, int, int]], new_shards: int) -> dict[int, int]:
+def plan_blocks(blocks: list[tuple[int, int | None, int]], capacities: list[int]) -> dict[int, int]:
     """New shard of each (block, old shard, bytes): the flow, realised in whole blocks.
 
-    The rooms are equal and sum up to all bytes. The largest blocks are placed first,
+    The rooms are in proportion to the capacities and sum up to all bytes. Bytes without
+    an old shard are sent like those of a shard that is given up. The largest blocks are placed first,
     each on the outgoing arc of its old shard with the most bytes still to send; a
     block that fits on none goes to the shard with the most room.
     """
-    total = sum(b for _, _, b in blocks)
-    olds = max((o for _, o, _ in blocks), default=-1) + 1
-    room = [total // new_shards + (i < total % new_shards) for i in range(new_shards)]
-    supply = [0] * olds
+    total, new_shards = sum(b for _, _, b in blocks), len(capacities)
+    nowhere = max([new_shards, *[o + 1 for _, o, _ in blocks if o is not None]])
+    blocks = [(n, nowhere if o is None else o, b) for n, o, b in blocks]
+    room = [total * c // sum(capacities) for c in capacities]
+    for i in [j for j, c in enumerate(capacities) if c][: total - sum(room)]:
+        room[i] += 1
+    supply = [0] * (nowhere + 1)
     for _, old, size in blocks:
         supply[old] += size
     flow = min_cost_flow(supply, room)
@@ -60,35 +64,56 @@ def plan_blocks(blocks: list[tuple[int, int, int]], new_shards: int) -> dict[int
     return placed
 
 
-def place(docs: DataFrame, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS) -> DataFrame:
+def place(
+    docs: DataFrame,
+    old_shards: int = OLD_SHARDS,
+    new_shards: int = NEW_SHARDS,
+    old: Column | None = None,
+    capacities: list[int] | None = None,
+) -> DataFrame:
     """``doc`` (the whole row), size, old_shard, shard, slot of every row.
 
-    The old layout puts a block of texts on shard ``block mod old_shards``. Equal texts
-    have one block and stay together, unless they alone outgrow a new shard's share of
+    ``old`` is the old shard of a row, a number from 0 or null for a new row. Without it
+    the old layout puts a block of texts on shard ``block mod old_shards``. Rows of one
+    text go where the old shard with most of its bytes goes. ``capacities`` are those of
+    the new shards, relative to each other, 0 for none; without them ``new_shards`` equal ones. Equal texts
+    have one block and stay together, unless they alone outgrow the largest new shard's share of
     the bytes: such a text is cut into parts by id, at most one per new shard in
     number. The driver sees only the sizes of the blocks, whose number is fixed.
 
     A null text has size 1 and lies with the empty ones, null ids have a part of their
     own, repeated rows are placed each; an empty table gives no rows.
     """
+    capacities = capacities or [1] * new_shards
+    own = F.pmod(text_block(), F.lit(old_shards)) if old is None else old
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.xxhash64(text_or_empty()).alias("text_key"),
         text_block().alias("text_block"),
         F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"),
+        own.cast("int").alias("old"),
     )
-    facts = stored(rows.groupBy("text_key", "text_block", "part").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
+    facts = stored(rows.groupBy("text_key", "text_block", "part", "old").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
     total = facts.agg(F.sum("size")).first()[0] or 0
-    large = facts.groupBy("text_key").agg(F.sum("size").alias("b")).where(F.col("b") > total / new_shards).select("text_key")
+    large = facts.groupBy("text_key").agg(F.sum("size").alias("b")).where(F.col("b") > total * max(capacities) / sum(capacities)).select("text_key")
     keys = sorted(r[0] for r in large.collect())  # fewer than new_shards rows
-    block = F.col("text_block")
+    home, most = F.col("old"), 0
+    if old is not None:
+        most = (facts.agg(F.max("old")).first()[0] or 0) + 1
+        per_text = facts.groupBy("text_key", "old").agg(F.sum("size").alias("b"))
+        homes = per_text.groupBy("text_key").agg(F.max_by("old", F.struct("b", -F.col("old"))).alias("home"))
+        facts, rows, home = facts.join(homes, "text_key"), rows.join(homes, "text_key"), F.col("home")
+    # Blocks of a given layout are those of one old shard, 0 for none; a large text is cut by old shard, too.
+    block = F.col("text_block") if old is None else F.col("text_block") + F.coalesce(home + 1, F.lit(0)) * BLOCKS
     for number, key in enumerate(keys):
-        block = F.when(F.col("text_key") == key, F.lit(BLOCKS + number * PARTS) + F.col("part")).otherwise(block)
+        cut = F.lit(0) if old is None else F.coalesce(F.col("old") + 1, F.lit(0))
+        start = F.lit(BLOCKS * (most + 1)) + (F.lit(number * (most + 1)) + cut) * PARTS
+        block = F.when(F.col("text_key") == key, start + F.col("part")).otherwise(block)
     facts, rows = facts.withColumn("block", block), rows.withColumn("block", block)
-    old = F.pmod("text_block", F.lit(old_shards)).cast("int")
-    sizes = facts.groupBy("block").agg(F.min(old).alias("old"), F.sum("size").alias("b")).collect()
-    plan = plan_blocks([(r["block"], r["old"], r["b"]) for r in sizes], new_shards)
+    sizes = facts.groupBy("block", "old").agg(F.sum("size").alias("b")).groupBy("block")
+    sizes = sizes.agg(F.max_by("old", F.struct("b", -F.col("old"))).alias("old"), F.sum("b").alias("b")).collect()
+    plan = plan_blocks([(r["block"], r["old"], r["b"]) for r in sizes], capacities)
     spark = docs.sparkSession
     shards = F.broadcast(spark.createDataFrame(sorted(plan.items()), "block int, shard int"))
     pieces = facts.groupBy("block", "part").agg(F.sum("n").alias("n")).join(shards, "block")
@@ -96,7 +121,7 @@ def place(docs: DataFrame, old_shards: int = OLD_SHARDS, new_shards: int = NEW_S
     pieces = pieces.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("block", "part", "shard", "before")
     within = Window.partitionBy("block", "part").orderBy("doc.doc_id", "text_key")
     numbered = rows.withColumn("rank", F.row_number().over(within)).join(pieces, ["block", "part"])
-    return numbered.select("doc", "size", old.alias("old_shard"), "shard", (F.col("before") + F.col("rank") - 1).alias("slot"))
+    return numbered.select("doc", "size", F.col("old").alias("old_shard"), "shard", (F.col("before") + F.col("rank") - 1).alias("slot"))
 
 
 def reshard(docs: DataFrame) -> DataFrame:
@@ -113,9 +138,15 @@ def reshard(docs: DataFrame) -> DataFrame:
     )
 
 
-def rewrite(placed: DataFrame, path: str) -> None:
-    """Writes the files that the plan changes, by new shard; a shard that loses and gains nothing keeps its files."""
-    moved = placed.where("old_shard != shard")
-    changed = moved.select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect()  # as many as shards
-    rows = placed.where(F.col("shard").isin([r["s"] for r in changed]))
-    rows.select("doc.*", "shard", "slot").write.mode("error").partitionBy("shard").parquet(path)
+def rewrite(placed: DataFrame, path: str) -> list[int]:
+    """Writes the files that the plan changes, by new shard, and returns the shards whose old files they replace.
+
+    A shard that loses and gains nothing keeps its files. A shard that ends up empty has no new ones.
+    """
+    moved = placed.where(~F.col("old_shard").eqNullSafe(F.col("shard")))
+    changed = moved.select(F.explode(F.array("old_shard", "shard")).alias("s")).where("s IS NOT NULL").distinct()
+    numbers = sorted(r["s"] for r in changed.collect())  # as many as shards
+    rows = placed.where(F.col("shard").isin(numbers))
+    kept = [F.col(f"doc.`{c}`") for c in placed.schema["doc"].dataType.names if c not in ("shard", "slot")]
+    rows.select(*kept, "shard", "slot").write.mode("error").partitionBy("shard").parquet(path)
+    return numbers
