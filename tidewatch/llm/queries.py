@@ -5,7 +5,8 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontaminate, licenses, mixing, quality, sharding, simhash, surrogates, syncmers, tokens, toxicity
+from tidewatch.llm import decontaminate, licenses, mixing, neighbours, quality, runs, sharding
+from tidewatch.llm import simhash, spelling, surrogates, syncmers, tokens, toxicity
 from tidewatch.llm.common import table
 from tidewatch.llm.sql import MIX_SQL
 
@@ -40,6 +41,9 @@ def all_queries():
         "op8_resharding": _documents(sharding.reshard),
         "op9_source_mixing": _documents(mixing.mix),
         "op10_quality": quality_scores,
+        "op11_periodic_runs": _documents(runs.run_digests),
+        "op12_spelling_variants": _documents(spelling.spelling_variants),
+        "op13_nearest_neighbours": lambda spark, sf_dir: neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings")),
         "pipeline": corpus_pipeline.run,
     }
 
