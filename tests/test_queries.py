@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as driver
 from tests.oracle import SF_ROOT, compare, connect
+from tidewatch.plans.oracle import all_sql
+from tidewatch.plans.queries import all_queries
 
 SF_DIR = str(SF_ROOT / "sf0.01")
 
@@ -14,13 +16,17 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(all_queries()) == set(all_sql())
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+def test_every_query_is_registered():
+    assert set(all_queries()) <= set(driver.queries()) and set(all_sql()) <= set(driver.oracle_sql())
+
+
+@pytest.mark.parametrize("name", list(all_queries()))
 def test_query_agrees_with_sql(spark, duck, name):
-    df = driver.queries()[name](spark, SF_DIR)
-    assert compare(df, duck, driver.oracle_sql()[name]) == []
+    df = all_queries()[name](spark, SF_DIR)
+    assert compare(df, duck, all_sql()[name]) == []
 
 
 def test_entry(spark):

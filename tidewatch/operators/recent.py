@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +22,38 @@ def since(rows: DataFrame, as_of: datetime | str, hours: int) -> DataFrame:
     bound = hours_before(as_of, hours)
     kind = rows.schema["timestamp"].dataType.simpleString()
     kept = rows.filter(f"timestamp >= CAST('{bound.isoformat(sep=' ')}' AS {kind})")
-    if "date" in rows.columns:
+    if stored_days(rows):
         kept = kept.filter(f"date >= DATE'{bound.date().isoformat()}'")
     return kept
 
 
+def stored_days(rows: DataFrame) -> list[date]:
+    """Days of a table that is stored by day, newest first; none for any other table.
+
+    Taken from the listing of its files, none of which is opened. A column that is only
+    called ``date`` does not make a table one stored by day.
+    """
+    if dict(rows.dtypes).get("date") != "date":
+        return []
+    found = {m[1] for f in rows.inputFiles() if (m := re.search(r"/date=(\d{4}-\d\d-\d\d)/", f))}
+    return sorted(map(date.fromisoformat, found), reverse=True)
+
+
+def from_newest_days(rows: DataFrame, days: list[date], enough: Callable[[DataFrame], bool]) -> DataFrame:
+    """The rows of so many newest days that ``enough`` holds of them, or of all days.
+
+    One day is tried, then 4, 16 and so on, so that days far back are opened only when the
+    newer ones do not do, and all tries together read a third more than the last one.
+    """
+    n = 1
+    while n < len(days):
+        part = rows.filter(F.col("date") >= F.lit(days[n - 1]))
+        if enough(part):
+            return part
+        n *= 4
+    return rows.filter("date IS NOT NULL")
+
+
 def last_rows(rows: DataFrame, n: int) -> DataFrame:
     """The ``n`` newest rows of each unit, the higher id winning a tie.
 
@@ -55,10 +83,22 @@ def on_days(rows: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def _latest_days(readings: DataFrame) -> DataFrame:
-    """Newest day of each unit. Reads only the unit ids, as the day is known per file."""
+    """Newest day of each unit. Reads only the unit ids, as the day is known per file and every dated row has a time."""
     return readings.filter("unit_id IS NOT NULL").groupBy("unit_id").agg(F.max("date").alias("date"))
 
 
+def _with_all_newest(readings: DataFrame, units: DataFrame, days: list[date], limit: int | None) -> DataFrame:
+    """The newest days of a stored table that hold a reading of every known unit; of all its days if some unit has none."""
+    names = unit_names(units).select("unit_id").distinct()
+    known = names.count()
+    names = F.broadcast(names) if names_fit_broadcast(units, limit) else names
+
+    def enough(part: DataFrame) -> bool:
+        return part.select("unit_id").distinct().join(names, "unit_id", "left_semi").count() == known
+
+    return from_newest_days(readings, days, enough)
+
+
 def _at_latest_times(readings: DataFrame, names: DataFrame) -> DataFrame:
     """Readings at their unit's newest time.
 
@@ -81,12 +121,14 @@ def _newest(
     readings: DataFrame, units: DataFrame, limit: int | None, pick: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
     """Applies ``pick`` to a part of the readings that has all newest ones, and adds ``unit_name``."""
-    dated = "date" in readings.columns
+    days = stored_days(readings)
+    if days:
+        readings = _with_all_newest(readings, units, days, limit)
     if names_fit_broadcast(units, limit):
-        narrow = _on_latest_days if dated else _at_latest_times
-        return pick(narrow(readings, unit_names(units)))
-    rows = on_days(readings, _latest_days(readings)) if dated else readings
-    return join_unit_names(pick(rows), units, limit)
+        narrow = _on_latest_days if days else _at_latest_times
+        return pick(narrow(readings, unit_names(units)).filter("timestamp IS NOT NULL"))
+    rows = on_days(readings, _latest_days(readings)) if days else readings
+    return join_unit_names(pick(rows.filter("timestamp IS NOT NULL")), units, limit)
 
 
 def _newest_ties(rows: DataFrame) -> DataFrame:
@@ -96,8 +138,7 @@ def _newest_ties(rows: DataFrame) -> DataFrame:
 
 def latest_with_ties(readings: DataFrame, units: DataFrame, limit: int | None = None) -> DataFrame:
     """All readings at the newest time of each known unit, plus ``unit_name``; readings without a time do not count."""
-    readings = readings.filter("timestamp IS NOT NULL")
-    if "date" not in readings.columns and names_fit_broadcast(units, limit):
+    if not stored_days(readings) and names_fit_broadcast(units, limit):
         return _at_latest_times(readings, unit_names(units))
     return _newest(readings, units, limit, _newest_ties)
 
@@ -107,5 +148,4 @@ def latest_one(readings: DataFrame, units: DataFrame, limit: int | None = None)
 
     Readings without a time do not count.
     """
-    readings = readings.filter("timestamp IS NOT NULL")
     return _newest(readings, units, limit, lambda rows: last_rows(rows, 1))
