@@ -1,5 +1,8 @@
 import math
+import random
+from fractions import Fraction
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +43,29 @@ def test_nan_in_the_window(spark, unit_id):
     assert all(math.isnan(v) for v in (row.do_now, row.do_2h, row.do_4h, row.do_6h))
 
 
+def test_means_equal_fractions(spark):
+    """From 1e-6 to 1e15, of either sign and on exact halves, there is no size at which the rounding changes."""
+    rng = random.Random(3)
+    values = {}
+    for unit in range(1, 120):
+        scale = 10.0 ** rng.randint(-6, 15)
+        values[unit] = [float(f"{rng.uniform(-scale, scale):.{rng.randint(0, 6)}f}") for _ in range(rng.randint(1, 6))]
+    values[120], values[121] = [999_999.995], [1_000_000.005, 1_000_000.0]
+    rows = [reading(100 * u + i, u, ago(i), do_predicted=v) for u, vs in values.items() for i, v in enumerate(vs)]
+    found = forecast_do(units(spark, *values), readings(spark, *rows), NOW, declining=[])
+    for row in found.collect():
+        exact = [Fraction(repr(v)) for v in values[row.unit_id]]
+        hundredths = math.floor(100 * sum(exact) / len(exact) + Fraction(1, 2))
+        assert row.do_now == float(hundredths) / 100, values[row.unit_id]
+
+
+def test_infinite_values(spark):
+    inf = math.inf
+    rows = [reading(10 * u + i, u, ago(i), do_predicted=v) for u, vs in {1: [inf, 5.0], 2: [-inf], 4: [inf, -inf], 5: [1e300]}.items() for i, v in enumerate(vs)]
+    found = {r.unit_id: r.do_now for r in forecast_do(units(spark, 1, 2, 4, 5), readings(spark, *rows), NOW, declining=[]).collect()}
+    assert found[1] == inf and found[2] == -inf and math.isnan(found[4]) and found[5] == inf
+
+
 def test_window_bounds_and_unknown_units(spark):
     rows = readings(
         spark,
@@ -76,14 +102,18 @@ def test_status_band(spark):
 
 
 def test_model_hook(spark):
-    def spread(unit_id, rows):
-        assert list(rows.columns)[0] == "timestamp" and "id" not in rows.columns
-        assert rows["timestamp"].is_monotonic_increasing
-        first = rows["do_predicted"].iloc[0] if len(rows) else -1.0
-        return {"do_now": first, "do_2h": len(rows), "do_4h": unit_id, "do_6h": 0, "confidence": 1}
+    def spread(batch):
+        assert list(batch.columns)[:2] == ["unit_id", "timestamp"] and "id" not in batch.columns
+        assert all(list(times) == sorted(times) for times in batch["timestamp"])
+        values = batch["do_predicted"]
+        first = [v[0] if len(v) else -1.0 for v in values]
+        return pd.DataFrame({"do_now": first, "do_2h": values.map(len), "do_4h": batch["unit_id"], "do_6h": len(batch), "confidence": 1})
 
     rows = readings(spark, *[reading(i, 1, ago(10 - i), do_predicted=float(i)) for i in range(9)])
-    result = forecast_do(units(spark, 1, 2), rows, NOW, model=spread, model_rows=4).orderBy("unit_id").collect()
-    assert [tuple(r) for r in result] == [(1, "U-01", 5.0, 4.0, 1.0, 0.0, 1.0), (2, "U-02", -1.0, 0.0, 2.0, 0.0, 1.0)]
+    fleet = units(spark, 1, 2, *range(3, 60)).coalesce(1)
+    result = forecast_do(fleet, rows, NOW, model=spread, model_rows=4).orderBy("unit_id").collect()
+    assert [tuple(r)[:5] for r in result[:2]] == [(1, "U-01", 5.0, 4.0, 1.0), (2, "U-02", -1.0, 0.0, 2.0)]
+    # A call for a batch of units, not for a unit.
+    assert len(result) == 59 and min(r.do_6h for r in result) > 1
     with pytest.raises(ValueError):
         forecast_do(units(spark, 1), rows, NOW, model=spread)

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timezone
 from decimal import ROUND_FLOOR, Decimal
 
@@ -6,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tidewatch.functions.rounding import mean_hundredths
-from tidewatch.functions.text import alert_message, iso_text, level_text, parameter_label
+from tidewatch.functions.text import alert_message, iso_text, level_text, number_text, parameter_label
 from tidewatch.functions.times import clamp_hours, floor_hour, hours_before, local_time, naive_utc
 
 
@@ -50,9 +51,20 @@ def test_texts(spark):
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(-6 * 10**9, 6 * 10**9), st.integers(1, 6)), min_size=1, max_size=40))
 def test_means_round_half_up(spark, pairs):
-    rows = spark.createDataFrame(pairs, "total bigint, n bigint").selectExpr("*", f"{mean_hundredths('total', 'n')} AS h")
+    """Totals are given in millionths."""
+    total = "CAST(CAST(total AS DECIMAL(20, 0)) * 0.000001 AS DECIMAL(38, 6))"
+    rows = spark.createDataFrame(pairs, "total bigint, n bigint").selectExpr("*", f"{mean_hundredths(total, 'n')} AS h")
     for row in rows.collect():
         exact = Decimal(row.total) / (row.n * 10_000)
         tie_free = (Decimal(2 * row.total + row.n * 10_000) / (2 * row.n * 10_000)).to_integral_value(ROUND_FLOOR)
         assert row.h == int(tie_free)
         assert abs(row.h - exact) <= Decimal("0.5")
+
+
+def test_number_text_equals_python(spark):
+    rng = random.Random(1)
+    values = [0.0, 1.0, 0.5, -7.25, 5e-4, 1e-4, 9.999e-4, 1e7, 12345678.9, 123456789012345.6, 9.99e15, 1e15, 9007199254740991.0]
+    values += [float(f"{rng.uniform(0, 10.0 ** rng.randint(-3, 15)):.{rng.randint(0, 8)}f}") for _ in range(500)]
+    values = [v for v in values if v == 0 or 1e-4 <= abs(v) < 1e16]
+    rows = spark.createDataFrame([(v,) for v in values + [-v for v in values if v]], "v double")
+    assert all(r.text == str(r.v) for r in rows.selectExpr("v", f"{number_text('v')} AS text").collect())

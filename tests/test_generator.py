@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +81,11 @@ def test_short_histories(spark, hours):
     rows = generate_readings(generate_units(spark, 3), NOW, hours)
     assert rows.count() == 3 * hours
     assert rows.agg(F.max("timestamp")).first()[0] == datetime(2024, 3, 10, 12)
+
+
+def test_days_share_no_id_and_overlapping_spans_agree(spark):
+    fleet = generate_units(spark, 2)
+    today, tomorrow = (generate_readings(fleet, moment, 24) for moment in (NOW, NOW + timedelta(days=1)))
+    assert today.join(tomorrow, "id").count() == 0
+    week = generate_readings(fleet, NOW + timedelta(days=1), 168)
+    assert today.exceptAll(week).count() == 0

@@ -1,5 +1,5 @@
 from tests.tables import NOW, alert, alerts, nullable, reading, readings, units
-from tidewatch.operators.quality import apply_defaults, check_constraints
+from tidewatch.operators.quality import apply_defaults, check_constraints, repeated_ids
 from tidewatch.schemas import ALERTS, UNITS
 
 
@@ -11,7 +11,7 @@ def violations(*tables):
 
 def test_clean_tables(spark):
     result = violations(units(spark, 1, 2), readings(spark, reading(1, 1, NOW)), alerts(spark, alert(1)))
-    assert len(result) == 9 + 11 + 10
+    assert len(result) == 11 + 13 + 12
     assert set(result.values()) == {0}
 
 
@@ -47,6 +47,7 @@ def test_each_rule(spark):
         ("units", "not_null:id"): 1,
         ("units", "not_null:name"): 2,
         ("units", "not_null:species"): 1,
+        ("units", "not_null:status"): 1,
         ("units", "not_null:farmer_name"): 1,
         ("units", "domain:species"): 1,
         ("units", "max_length:name"): 1,
@@ -63,6 +64,7 @@ def test_each_rule(spark):
         ("alerts", "not_null:severity"): 1,
         ("alerts", "not_null:message"): 1,
         ("alerts", "not_null:timestamp"): 1,
+        ("alerts", "not_null:is_read"): 1,
         ("alerts", "domain:severity"): 1,
         ("alerts", "max_length:parameter"): 1,
         ("alerts", "max_length:message"): 1,
@@ -75,3 +77,11 @@ def test_defaults(spark):
     assert [r.status for r in apply_defaults(fleet, "units").orderBy("id").collect()] == ["active", "warning"]
     raised = spark.createDataFrame([(1, 1, "ph", "warn", "m", NOW, None), (2, 1, "ph", "warn", "m", NOW, True)], ALERTS)
     assert [r.is_read for r in apply_defaults(raised, "alerts").orderBy("id").collect()] == [False, True]
+
+
+def test_repeated_ids(spark):
+    """Far apart, next to each other, negative, and over several tasks; null ids are not repeated ids."""
+    numbers = [*range(70_000), 5, 5, 69_999, -1, -1, -40_000, 2**40, 2**40, None, None]
+    rows = spark.createDataFrame([(n,) for n in numbers], "id long").repartition(5)
+    assert repeated_ids("alerts", rows).first().violations == 4
+    assert repeated_ids("alerts", rows.filter("id > 100 AND id < 69999")).first().violations == 0

@@ -11,6 +11,7 @@ from tidewatch.schemas import TABLES
 from tidewatch.sources.generator import generate_readings, generate_units
 from tidewatch.sources.tables import (
     create_tables,
+    insert_new,
     insert_rows,
     json_documents,
     read_table,
@@ -73,6 +74,24 @@ def test_append_and_overwrite(spark, tmp_path):
     assert ids(read_table(spark, path, "alerts")) == [3]
 
 
+def test_inserting_again_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "readings")
+    fleet = generate_units(spark, 3)
+    first, second = (generate_readings(fleet, moment, 30) for moment in (ago(24), NOW))
+    for rows in (first, first, second, first.unionByName(second)):
+        insert_new(rows, path, "readings")
+    stored = read_table(spark, path, "readings")
+    assert stored.count() == stored.select("id").distinct().count() == 3 * 54
+    path = str(tmp_path / "alerts")
+    odd = alerts(spark, alert(1), alert(1), alert(2)).withColumn("timestamp", F.expr("if(id = 2, NULL, timestamp)"))
+    for _ in range(2):
+        insert_new(odd, path, "alerts")
+    assert sorted(ids(read_table(spark, path, "alerts"))) == [1, 2]
+    for _ in range(2):
+        insert_new(receipts(spark, 7, 7, 8), str(tmp_path / "receipts"), "receipts")
+    assert sorted(ids(read_table(spark, str(tmp_path / "receipts"), "receipts"), "alert_id")) == [7, 8]
+
+
 def test_catalog_tables(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS monitoring")
     create_tables(spark, "monitoring")

@@ -26,8 +26,19 @@ def level_text(severity: str) -> str:
     return _lookup(severity, LEVELS, "NULL")
 
 
+def number_text(value: str) -> str:
+    """The digits of a double without exponent, from 1e-4 to below 1e16; outside, Spark's own text."""
+    plain = f"CAST(CAST(CAST({value} AS STRING) AS DECIMAL(38, 20)) AS STRING)"
+    trimmed = f"regexp_replace(regexp_replace({plain}, '0+$', ''), '[.]$', '.0')"
+    size = f"abs({value})"
+    return (
+        f"CASE WHEN ({size} >= 1e7D AND {size} < 1e16D) OR ({size} >= 1e-4D AND {size} < 1e-3D)"
+        f" THEN {trimmed} ELSE CAST({value} AS STRING) END"
+    )
+
+
 def alert_message(unit_name: str, label: str, value: str, severity: str) -> str:
-    return f"concat('[', {level_text(severity)}, '] ', {unit_name}, ': ', {label}, ' = ', CAST({value} AS STRING))"
+    return f"concat('[', {level_text(severity)}, '] ', {unit_name}, ': ', {label}, ' = ', {number_text(value)})"
 
 
 def iso_text(timestamp: str) -> str:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.rounding import mean_hundredths, micros
+from tidewatch.functions.rounding import exact, is_finite, mean_hundredths
 from tidewatch.functions.thresholds import status
 from tidewatch.operators.recent import last_rows, since
 from tidewatch.schemas import MEASURES
@@ -34,10 +35,8 @@ DECLINING_IDS = (3,)
 HORIZONS = ("do_2h", "do_4h", "do_6h")
 FORECAST_FIELDS = ("do_now", *HORIZONS, "confidence")
 
-# Larger values, which no oxygen reading has, and NaN are averaged as floating point.
-_EXACT_BELOW = 1_000_000
-
-Model = Callable[[int, pd.DataFrame], Mapping[str, float]]
+# Takes a row per unit (its id and, per feature, its values oldest first) and gives a row of FORECAST_FIELDS for each.
+Model = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def forecast_features(readings: DataFrame, as_of: datetime | str) -> DataFrame:
@@ -59,17 +58,15 @@ def recent_oxygen(readings: DataFrame, as_of: datetime | str) -> DataFrame:
 
 
 def _window_means(recent: DataFrame) -> DataFrame:
-    """Mean oxygen per unit in hundredths, rounded half-up."""
+    """Mean oxygen per unit in hundredths, rounded half-up; NaN or infinite where a value is."""
     oxygen = recent.selectExpr("unit_id", f"coalesce(do_predicted, {MISSING_VALUE}D) AS oxygen")
-    exact = f"abs(oxygen) < {_EXACT_BELOW}"
+    finite = is_finite("oxygen")
     sums = oxygen.groupBy("unit_id").agg(
-        F.expr(f"sum(CASE WHEN {exact} THEN {micros('oxygen')} END) AS total"),
+        F.expr(f"sum(CASE WHEN {finite} THEN {exact('oxygen')} END) AS total"),
         F.expr("count(*) AS n"),
-        F.expr(f"bool_and({exact}) AS exact"),
-        F.expr("avg(oxygen) AS mean"),
+        F.expr(f"sum(CASE WHEN NOT {finite} THEN oxygen * double('Infinity') END) AS odd"),
     )
-    hundredths = f"CASE WHEN exact THEN CAST({mean_hundredths('total', 'n')} AS DOUBLE) ELSE round(mean * 100) END"
-    return sums.selectExpr("unit_id AS id", f"{hundredths} AS _mean")
+    return sums.selectExpr("unit_id AS id", f"coalesce(odd, CAST({mean_hundredths('total', 'n')} AS DOUBLE)) AS _mean")
 
 
 def forecast_from(units: DataFrame, recent: DataFrame, declining: Column | Iterable[int] = DECLINING_IDS) -> DataFrame:
@@ -120,27 +117,28 @@ def forecast_do(
 
 
 def _forecast_with(units: DataFrame, readings: DataFrame, as_of: datetime | str, model: Model, rows: int) -> DataFrame:
-    """Runs a model once per unit on its ``rows`` newest readings of the last 24 h, oldest first.
+    """Runs a model on the ``rows`` newest readings of each unit in the last 24 h, many units a call.
 
-    ``rows`` is the model's own input length, so every group is that small, even
-    of a unit with a large share of the readings. A unit without readings
-    reaches the model with an empty frame.
+    A unit's readings are packed into one row of arrays, oldest first and no longer than
+    the model's own input, so that a call costs per Arrow batch and not per unit, and a
+    unit with a large share of the readings is no larger than any other. A unit without
+    readings reaches the model with empty arrays.
     """
     features = ["timestamp", *MEASURES]
     window = since(readings, as_of, WINDOW_HOURS).select("unit_id", "id", *features)
-    newest = last_rows(window, rows).withColumnRenamed("id", "_reading")
-    inputs = units.selectExpr("id AS unit_id", "name AS unit_name").join(newest, "unit_id", "left")
+    entry = F.struct("timestamp", "id", *MEASURES)
+    packed = last_rows(window, rows).groupBy("unit_id").agg(F.sort_array(F.collect_list(entry)).alias("window"))
+    named = units.selectExpr("id AS unit_id", "name AS unit_name").join(packed, "unit_id", "left")
+    inputs = named.selectExpr("unit_id", "unit_name", *[f"coalesce(window.{f}, array()) AS {f}" for f in features])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        frame = group[group["_reading"].notna()].sort_values(["timestamp", "_reading"])
-        unit_id = int(group["unit_id"].iloc[0])
-        answer = model(unit_id, frame[features].reset_index(drop=True))
-        values = [float(answer[field]) for field in FORECAST_FIELDS]
-        row = [unit_id, group["unit_name"].iloc[0], *values]
-        return pd.DataFrame([row], columns=["unit_id", "unit_name", *FORECAST_FIELDS])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            answer = model(batch.drop(columns="unit_name"))
+            values = {field: np.asarray(answer[field], np.float64) for field in FORECAST_FIELDS}
+            yield pd.DataFrame({"unit_id": batch["unit_id"], "unit_name": batch["unit_name"], **values})
 
     schema = "unit_id int, unit_name string, " + ", ".join(f"{field} double" for field in FORECAST_FIELDS)
-    return inputs.groupBy("unit_id").applyInPandas(run, schema)
+    return inputs.mapInPandas(run, schema)
 
 
 def forecast_status(forecast: DataFrame) -> DataFrame:

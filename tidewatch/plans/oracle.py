@@ -27,6 +27,7 @@ readings AS (
   FROM events
 )"""
 
+# Limits and display names.
 SEVERITY = {
     "ph": "CASE WHEN ph < 7.0 OR ph > 9.0 THEN 'danger' WHEN ph < 7.3 OR ph > 8.7 THEN 'warn' END",
     "temperature": "CASE WHEN temperature < 22 OR temperature > 33 THEN 'danger'"
@@ -133,9 +134,9 @@ def _feed(alerts: str) -> str:
   ORDER BY a."timestamp" DESC, a.id DESC LIMIT 50"""
 
 
-def _forecast(falling: str) -> str:
+def _forecast(falling: str, readings: str = READINGS) -> str:
     """Whole hundredths; every division has non-negative operands."""
-    return f"""{_with(UNITS, READINGS)},
+    return f"""{_with(UNITS, readings)},
 recent AS (
   SELECT unit_id, do_predicted FROM (
     SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY "timestamp" DESC, id DESC) AS position
@@ -143,7 +144,7 @@ recent AS (
   ) WHERE position <= 6
 ),
 means AS (
-  SELECT unit_id, (2 * sum(CAST(round(do_predicted * 1e6) AS BIGINT)) + count(*) * 10000) // (2 * count(*) * 10000) AS h
+  SELECT unit_id, (2 * sum(CAST(round(coalesce(do_predicted, 5.0) * 1e6) AS BIGINT)) + count(*) * 10000) // (2 * count(*) * 10000) AS h
   FROM recent GROUP BY unit_id
 ),
 based AS (
@@ -174,23 +175,27 @@ def _rows_where(table: str, condition: str) -> str:
 
 
 def _constraints() -> str:
-    unit_rules = {f"not_null:{c}": _rows_where("units", f"{c} IS NULL") for c in ("id", "name", "species", "farmer_name")}
+    unit_rules = {f"not_null:{c}": _rows_where("units", f"{c} IS NULL") for c in ("id", "name", "species", "status", "farmer_name")}
     unit_rules["domain:species"] = _rows_where("units", "species NOT IN ('grouper', 'snapper')")
     for column, length in {"name": 32, "status": 32, "farmer_name": 128}.items():
         unit_rules[f"max_length:{column}"] = _rows_where("units", f"length({column}) > {length}")
+    repeated = "SELECT count(*) FROM (SELECT id FROM {0} WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1)"
+    unit_rules["unique:id"] = repeated.format("units")
     unit_rules["unique:name"] = (
         "SELECT count(*) FROM (SELECT name FROM units WHERE name IS NOT NULL GROUP BY name HAVING count(*) > 1)"
     )
     orphan = "unit_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM units u WHERE u.id = unit_id)"
     reading_rules = {
-        f"not_null:{c}": _rows_where("readings", f'"{c}" IS NULL') for c in ("id", "unit_id", "timestamp", *MEASURES)
+        f"not_null:{c}": _rows_where("readings", f'"{c}" IS NULL') for c in ("id", "unit_id", "timestamp", *MEASURES, "do_source")
     }
+    reading_rules["unique:id"] = repeated.format("readings")
     reading_rules["domain:do_source"] = _rows_where("readings", "do_source NOT IN ('tft', 'manual')")
     reading_rules["foreign_key:unit_id"] = _rows_where("readings", orphan)
     alert_rules = {
         f"not_null:{c}": _rows_where("alerts", f'"{c}" IS NULL')
-        for c in ("id", "unit_id", "parameter", "severity", "message", "timestamp")
+        for c in ("id", "unit_id", "parameter", "severity", "message", "timestamp", "is_read")
     }
+    alert_rules["unique:id"] = repeated.format("alerts")
     alert_rules["domain:severity"] = _rows_where("alerts", "severity NOT IN ('info', 'warn', 'danger')")
     alert_rules["max_length:parameter"] = _rows_where("alerts", "length(parameter) > 64")
     alert_rules["max_length:message"] = _rows_where("alerts", "length(message) > 512")
@@ -202,7 +207,7 @@ def _constraints() -> str:
 
 DIRTY_UNITS = """
 units AS (
-  SELECT CAST(c_custkey + 1 AS INTEGER) AS id,
+  SELECT CAST(c_custkey + CASE WHEN c_custkey % 19 = 1 THEN 0 ELSE 1 END AS INTEGER) AS id,
          CASE WHEN c_custkey % 11 = 0 THEN 'U-' || CAST(c_custkey % 7 AS VARCHAR)
               WHEN c_custkey % 13 = 0 THEN 'U-' || lpad(CAST(c_custkey AS VARCHAR), 40, '0')
               WHEN c_custkey % 17 <> 0 THEN 'U-' || CAST(c_custkey AS VARCHAR) END AS name,
@@ -215,6 +220,7 @@ units AS (
 DIRTY_READINGS = """
 dirty AS (
   SELECT * REPLACE (
+    CASE WHEN id % 101 = 1 THEN id - 1 ELSE id END AS id,
     CASE WHEN id % 23 <> 0 THEN unit_id END AS unit_id,
     CASE WHEN id % 97 <> 0 THEN ph END AS ph,
     CASE WHEN id % 89 <> 0 THEN do_predicted END AS do_predicted,
@@ -223,10 +229,12 @@ dirty AS (
 )"""
 
 
+CLEAN = READINGS.replace("readings AS (", "clean AS (", 1)
+DIRTY_IN_PLACE = DIRTY_READINGS.replace("dirty AS (", "readings AS (", 1).replace("FROM readings", "FROM clean")
+
+
 def _dirty_constraints() -> str:
-    clean = READINGS.replace("readings AS (", "clean AS (", 1)
-    dirty = DIRTY_READINGS.replace("dirty AS (", "readings AS (", 1).replace("FROM readings", "FROM clean")
-    return f"{_with(DIRTY_UNITS, clean, dirty, _alerts())} {_constraints()}"
+    return f"{_with(DIRTY_UNITS, CLEAN, DIRTY_IN_PLACE, _alerts())} {_constraints()}"
 
 
 def _uniform(draw: str, low: int, high: int) -> str:
@@ -241,15 +249,18 @@ GENERATED = f"""
 fleet AS (
   SELECT CAST(c_custkey + 1 AS INTEGER) AS id, printf('U-%02d', c_custkey + 1) AS name FROM customer
 ),
+span AS (
+  SELECT CAST(epoch(date_trunc('hour', {AS_OF})) AS BIGINT) // 3600 - 167 AS first_hour
+),
 grid AS (
-  SELECT id, name, id % 25 = 3 AS falling, h, md5(name || '-' || CAST(h AS VARCHAR)) AS digest
-  FROM fleet, range(168) hours(h)
+  SELECT id, name, id % 25 = 3 AS falling, h, first_hour + h AS hour, md5(name || '-' || CAST(first_hour + h AS VARCHAR)) AS digest
+  FROM fleet, range(168) hours(h), span
 ),
 drawn AS (
   SELECT *, {", ".join(f"{_draw(k)} AS d{k}" for k in range(6))} FROM grid
 ),
 generated AS (
-  SELECT CAST(id AS BIGINT) * 168 + h AS id,
+  SELECT CAST(id AS BIGINT) * 8388608 + hour AS id,
          id AS unit_id,
          date_trunc('hour', {AS_OF}) - to_hours(CAST(167 - h AS BIGINT)) AS "timestamp",
          {_uniform("d1", 760, 840)} / 100.0::DOUBLE AS ph,
@@ -358,6 +369,7 @@ SELECT unit_id, unit_name, do_now,
        CASE WHEN do_now < 4 THEN 'kritis' WHEN do_now < 5 THEN 'perhatian' ELSE 'normal' END AS do_status
 FROM forecast""",
         "forecast_declining_by_status": f"""{_forecast("u.species = 'snapper'")} SELECT * FROM forecast""",
+        "forecast_missing_oxygen": f"""{_forecast("u.id = 3", CLEAN + ", " + DIRTY_IN_PLACE)} SELECT * FROM forecast""",
         "forecast_features": f"""{_with(READINGS)}
 SELECT unit_id, "timestamp", {", ".join(MEASURES)} FROM readings
 WHERE "timestamp" >= {AS_OF} - INTERVAL 24 HOUR""",
@@ -374,11 +386,11 @@ FROM units u LEFT JOIN newest n ON n.unit_id = u.id, LATERAL (SELECT coalesce(n.
         "apply_defaults": f"""{_with(READINGS, DIRTY_READINGS)}
 SELECT * REPLACE (coalesce(do_source, 'tft') AS do_source) FROM dirty""",
         "generate_units": """
-SELECT CAST(i AS INTEGER) AS id, printf('U-%02d', i) AS name,
+SELECT CAST(i AS INTEGER) AS id, printf('U-%02d', CAST(i AS BIGINT)) AS name,
        CASE WHEN i % 2 = 1 THEN 'grouper' ELSE 'snapper' END AS species,
        CASE WHEN i = 3 THEN 'warning' ELSE 'active' END AS status,
        printf('Farmer %02d', i) AS farmer_name
-FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS i FROM customer)""",
+FROM (SELECT c_custkey + 1 AS i FROM customer)""",
         "generate_readings": f"{_with(GENERATED)} SELECT * FROM generated",
         "generated_alerts": f"""{_with(GENERATED)},
 latest AS (
@@ -388,9 +400,6 @@ latest AS (
 SELECT *, FALSE AS is_read FROM ({_raise("latest", "unit_name")})""",
         "stream_alerts": f"{base} SELECT *, FALSE AS is_read FROM ({_raise('named', 'unit_name')})",
         "stream_new_dangers": f"{plain_alerts} SELECT * FROM alerts WHERE severity = 'danger' AND NOT is_read",
-        "stream_latest": f"""{_with(READINGS)}
-SELECT * EXCLUDE (position) FROM (
-  SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY "timestamp" DESC, id DESC) AS position FROM readings
-) WHERE position = 1""",
+        "stream_latest": f"{latest} SELECT {READING_COLUMNS}, {STATUS_COLUMNS}, {LIGHT_STATUS} FROM latest",
         "stream_forecast": f"{forecast} SELECT * FROM forecast",
     }

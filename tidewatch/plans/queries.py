@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 from datetime import timedelta
 
 import pandas as pd
@@ -259,10 +259,16 @@ def forecast_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast_ops.forecast_features(fx.readings(spark, sf_dir), fx.as_of(spark, sf_dir))
 
 
-def _persistence(unit_id: int, rows: pd.DataFrame) -> Mapping[str, float]:
-    """A model that expects the newest value to last."""
-    last = rows["do_predicted"].iloc[-1] if len(rows) else 5.5
-    return {"do_now": last, "do_2h": last, "do_4h": last, "do_6h": last, "confidence": 0.5}
+@_query
+def forecast_missing_oxygen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings without oxygen count as the missing value."""
+    return forecast_ops.forecast_do(fx.units(spark, sf_dir), fx.dirty_readings(spark, sf_dir), fx.as_of(spark, sf_dir))
+
+
+def _persistence(units: pd.DataFrame) -> pd.DataFrame:
+    """A model that expects the newest value of each unit to last."""
+    last = [values[-1] if len(values) else 5.5 for values in units["do_predicted"]]
+    return pd.DataFrame({"do_now": last, "do_2h": last, "do_4h": last, "do_6h": last, "confidence": 0.5})
 
 
 @_query
@@ -291,8 +297,8 @@ def apply_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def generate_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many units as there are customers."""
-    return generator.generate_units(spark, fx.load(spark, sf_dir, "customer").count())
+    """A unit for each customer."""
+    return generator.units_of(fx.load(spark, sf_dir, "customer").selectExpr("c_custkey + 1 AS id"))
 
 
 @_query
@@ -345,15 +351,17 @@ def stream_new_dangers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _run_folder(spark)
-    writer = live.latest_writer(fx.readings_of(_event_stream(spark, sf_dir)), f"{folder}/latest")
+    readings = fx.readings_of(_event_stream(spark, sf_dir))
+    writer = live.latest_writer(readings, fx.units(spark, sf_dir), f"{folder}/latest")
     live.run_available(writer, f"{folder}/checkpoint")
-    return live.latest_table(f"{folder}/latest").current(spark)
+    return reading_ops.flatten_status(live.latest_table(f"{folder}/latest").current(spark))
 
 
 @_query
 def stream_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _run_folder(spark)
     readings = fx.readings_of(_event_stream(spark, sf_dir))
-    writer = live.forecast_writer(readings, fx.units(spark, sf_dir), f"{folder}/state")
+    units, now = fx.units(spark, sf_dir), fx.as_of(spark, sf_dir)
+    writer = live.forecast_writer(readings, units, f"{folder}/forecast", as_of=now)
     live.run_available(writer, f"{folder}/checkpoint")
-    return live.forecast_table(f"{folder}/state").current(spark)
+    return live.forecast_table(f"{folder}/forecast").current(spark)

@@ -60,11 +60,11 @@ RECEIPTS = T.StructType([T.StructField("alert_id", T.LongType(), False)])
 
 TABLES = {"units": UNITS, "readings": READINGS, "alerts": ALERTS, "receipts": RECEIPTS}
 
-# Columns a row may not leave empty; the ones with a default are filled on ingest.
+# Columns a row may not leave empty. Those with a default are filled on ingest, so only rows that went round it break them.
 REQUIRED = {
-    "units": ("id", "name", "species", "farmer_name"),
-    "readings": ("id", "unit_id", "timestamp", *MEASURES),
-    "alerts": ("id", "unit_id", "parameter", "severity", "message", "timestamp"),
+    "units": ("id", "name", "species", "status", "farmer_name"),
+    "readings": ("id", "unit_id", "timestamp", *MEASURES, "do_source"),
+    "alerts": ("id", "unit_id", "parameter", "severity", "message", "timestamp", "is_read"),
 }
 
 DOMAINS = {

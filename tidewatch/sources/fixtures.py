@@ -94,9 +94,9 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dirty_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A unit per customer, with repeated and overlong names, empty and foreign values."""
+    """A unit per customer, with repeated ids and names, overlong names, empty and foreign values."""
     return load(spark, sf_dir, "customer").selectExpr(
-        "CAST(c_custkey + 1 AS INT) AS id",
+        "CAST(c_custkey + if(c_custkey % 19 = 1, 0, 1) AS INT) AS id",
         "CASE WHEN c_custkey % 11 = 0 THEN concat('U-', c_custkey % 7)"
         " WHEN c_custkey % 13 = 0 THEN concat('U-', lpad(CAST(c_custkey AS STRING), 40, '0'))"
         " WHEN c_custkey % 17 <> 0 THEN concat('U-', c_custkey) END AS name",
@@ -107,8 +107,9 @@ def dirty_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dirty_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings with empty measures, units and sources."""
+    """Readings with repeated ids, empty measures, units and sources."""
     broken = {
+        "id": "if(id % 101 = 1, id - 1, id)",
         "unit_id": "CASE WHEN id % 23 <> 0 THEN unit_id END",
         "ph": "CASE WHEN id % 97 <> 0 THEN ph END",
         "do_predicted": "CASE WHEN id % 89 <> 0 THEN do_predicted END",

@@ -1,7 +1,8 @@
 """Deterministic synthetic units and readings of any size.
 
-The draws of a reading come from one digest of its unit's name and its hour, so
-a reading has the same values in every run, whatever the partitioning.
+The id of a reading and its draws come from its unit and its hour, counted from
+1970: a reading is the same in every run, whatever the partitioning and whichever
+span of hours is asked for, and readings of different hours never share an id.
 """
 
 from __future__ import annotations
@@ -33,12 +34,19 @@ _DRAW_DIGITS = 5  # hexadecimal digits of a digest per draw
 _DRAW_BITS = 4 * _DRAW_DIGITS
 _DRAWS_PER_WORD = 3  # as many draws as fit one bigint, read from the digest at once
 _BLOCK_HOURS = 24
+#: Hours from 1970 on that fit an id beside the unit: up to the year 2926.
+ID_HOURS = 1 << 23
 _ROWS_PER_TASK = 2_000_000
 
 
 def generate_units(spark: SparkSession, n: int) -> DataFrame:
     """``n`` units with ids from 1, alternating species; the third one carries a warning."""
-    named = spark.range(1, n + 1).selectExpr("CAST(id AS INT) AS id", "format_string('U-%02d', id) AS name")
+    return units_of(spark.range(1, n + 1))
+
+
+def units_of(ids: DataFrame) -> DataFrame:
+    """A unit for each row of a table with column ``id``."""
+    named = ids.selectExpr("CAST(id AS INT) AS id", "format_string('U-%02d', id) AS name")
     declining = " OR ".join(f"name = '{name}'" for name in DECLINING_NAMES)
     return named.selectExpr(
         "id",
@@ -85,6 +93,8 @@ def generate_readings(
 ) -> DataFrame:
     """Hourly readings of every unit, the last one at the full hour of ``as_of``.
 
+    Only the declining scenario depends on where an hour lies within the span.
+
     ``declining`` is a condition on the columns of ``units``; by default it is
     the third generated unit. Work is spread by day of a unit, so one unit with
     a long history and many units with a short one are both parallel.
@@ -93,6 +103,7 @@ def generate_readings(
         declining = F.col("name").isin(*DECLINING_NAMES)
     end = naive_utc(as_of).replace(minute=0, second=0, microsecond=0)
     start = end - timedelta(hours=hours - 1)
+    first_hour = (start - datetime(1970, 1, 1)) // timedelta(hours=1)
     session = units.sparkSession
     tasks = max(session.sparkContext.defaultParallelism, -(-units.count() * hours // _ROWS_PER_TASK))
 
@@ -108,7 +119,7 @@ def generate_readings(
             "_declining",
             f"explode(sequence({first}, least({first} + {_BLOCK_HOURS - 1}, {hours - 1}L))) AS _hour",
         )
-        .selectExpr("id", "_declining", "_hour", "md5(concat(name, '-', CAST(_hour AS STRING))) AS _digest")
+        .selectExpr("id", "_declining", "_hour", f"md5(concat(name, '-', CAST({first_hour} + _hour AS STRING))) AS _digest")
         .selectExpr("id", "_declining", "_hour", _word(0), _word(1))
     )
     turbidity = (
@@ -117,7 +128,7 @@ def generate_readings(
     )
     oxygen = f"if(_declining, {_falling_oxygen(_draw(5), hours)}, {_uniform(_draw(5), OXYGEN)})"
     return drawn.selectExpr(
-        f"CAST(id AS BIGINT) * {hours} + _hour AS id",
+        f"CAST(id AS BIGINT) * {ID_HOURS} + {first_hour} + _hour AS id",
         "id AS unit_id",
         f"{moment_literal(start)} + make_dt_interval(0, CAST(_hour AS INT)) AS timestamp",
         f"{_uniform(_draw(1), PH)} / 100D AS ph",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,8 @@ from tidewatch.schemas import DEFAULTS, TABLES
 # Tables with a time are stored by day and, within a file, by unit and time, so
 # that a lookback reads only its days and a unit filter skips row groups.
 DATED = ("readings", "alerts")
+#: What tells a row of a table from the others.
+KEYS = {"units": "id", "readings": "id", "alerts": "id", "receipts": "alert_id"}
 
 
 def stored_schema(table: str) -> T.StructType:
@@ -49,6 +52,29 @@ def write_table(rows: DataFrame, path: str, table: str, mode: str = "append") ->
     writer.parquet(path)
 
 
+def insert_new(rows: DataFrame, path: str, table: str) -> None:
+    """Adds the rows whose key the table does not hold yet; adding the same rows again adds nothing.
+
+    A table stored by day is looked at on the days of the new rows only, and of it no more
+    than the keys. Of new rows with one key, one is added.
+    """
+    key = KEYS[table]
+    rows = _arranged(rows, table).dropDuplicates([key])
+    try:
+        held = read_table(rows.sparkSession, path, table)
+    except AnalysisException:  # nothing is stored yet
+        held = None
+    if held is not None:
+        same = [key]
+        if table in DATED:
+            days = [r[0] for r in rows.select("date").distinct().collect()]  # one value per day
+            held = held.filter(F.col("date").isin([d for d in days if d]) | (F.col("date").isNull() if None in days else F.lit(False)))
+            same.append("date")
+        held = held.select(*[F.col(c).alias(f"_{c}") for c in same])
+        rows = rows.join(held, [rows[c].eqNullSafe(held[f"_{c}"]) for c in same], "left_anti")
+    write_table(rows, path, table)
+
+
 def create_tables(spark: SparkSession, database: str = "default") -> None:
     """Creates the catalog tables that do not exist yet."""
     for table in TABLES:
