@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewatch.llm import decontaminate, licenses, mixing, neighbours, quality, runs, sharding
 from tidewatch.llm import simhash, spelling, surrogates, syncmers, tokens, toxicity
 from tidewatch.llm.common import table
-from tidewatch.llm.sql import MIX_SQL
+from tidewatch.llm.sql import LICENSE_SQL, MIX_SQL
 
 DEMO_KEY = "surrogate key of the registered query"
 
@@ -49,7 +49,7 @@ def all_queries():
 
 
 def all_sql() -> dict[str, str]:
-    given = {"op9_source_mixing": MIX_SQL}
+    given = {"op1_license_scan": LICENSE_SQL, "op9_source_mixing": MIX_SQL}
     if corpus_pipeline.ORACLE_SQL:
         given["pipeline"] = corpus_pipeline.ORACLE_SQL
     return given

@@ -1,5 +1,27 @@
 """SQL twins of the queries that SQL can express."""
 
+from tidewatch.llm.licenses import CONTAINED, SHINGLE, TEMPLATES
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+_SHINGLES = f"list_distinct(list_transform(range(1, len(words) - {SHINGLE - 2}), lambda i: array_to_string(words[i:i + {SHINGLE - 1}], ' ')))"
+
+#: Every shingle of every document against those of every notice, without bands.
+LICENSE_SQL = f"""
+WITH given(template, license, text) AS (VALUES {", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(TEMPLATES))}),
+templates AS (SELECT template, license, {_SHINGLES} AS s FROM (SELECT *, {_WORDS} AS words FROM given)),
+known AS (SELECT template, unnest(s) AS shingle FROM templates),
+docs AS (SELECT row_number() OVER () AS n, doc_id, {_WORDS} AS words FROM documents),
+held AS (SELECT n, doc_id, unnest({_SHINGLES}) AS shingle FROM docs),
+hits AS (SELECT n, doc_id, template, count(*) AS matched FROM held JOIN known USING (shingle) GROUP BY ALL)
+SELECT doc_id, CAST(template AS INTEGER) AS template, license, matched, CAST(len(s) AS BIGINT) AS shingles, matched / len(s)::DOUBLE AS containment
+FROM hits JOIN templates USING (template) WHERE matched / len(s)::DOUBLE >= {CONTAINED}
+"""
+
 MIX_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
