@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewatch.llm import decontaminate, mixing, quality, sharding, simhash
 from tidewatch.llm.common import stored, table
@@ -26,8 +27,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.take_copies(docs)
 
 
-def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.place(docs).select("doc.*", "shard", "slot")
+def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str, old: str | None = None, path: str | None = None) -> DataFrame:
+    """The documents with shard and slot.
+
+    ``old`` names a column that holds the shard each row lies in now; with ``path`` as well, the
+    files of the shards that change are written there. Without it no layout is given.
+    """
+    placed = sharding.place(docs, old=F.col(old) if old else None)
+    if old and path:
+        sharding.rewrite(placed, path)
+    return placed.select("doc.*", "shard", "slot")
 
 
 STAGES = [

@@ -9,6 +9,8 @@ from tidewatch.llm.common import stored, text_or_empty
 
 OLD_SHARDS, NEW_SHARDS = 12, 16
 BLOCKS, PARTS = 4096, 64
+#: A text larger than a shard is cut into so many parts that each has about these many rows, PARTS at least.
+PART_ROWS = 1_000_000
 
 
 def text_block() -> Column:
@@ -64,6 +66,33 @@ def plan_blocks(blocks: list[tuple[int, int | None, int]], capacities: list[int]
     return placed
 
 
+def _in_parts(rows: DataFrame, share: float) -> tuple[DataFrame, list[int], int]:
+    """The rows with ``part``, the keys of texts that outgrow a shard, and the number of parts these are cut into.
+
+    Parts follow the id, so that a text's rows of different ids spread evenly. An id that
+    is repeated, or missing, so often that it would make a part of such a text too large
+    is dealt out by draw instead; as a draw is not the same twice, the rows are written
+    down once it is made.
+    """
+    sizes = rows.groupBy("text_key").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    total = sizes.agg(F.sum("b")).first()[0] or 0
+    large = sizes.where(F.col("b") > total * share).collect()  # no more rows than shards
+    keys = sorted(r["text_key"] for r in large)
+    parts = max([PARTS, *[-(-r["n"] // PART_ROWS) for r in large]])
+    if not keys:
+        return rows.withColumn("part", F.pmod("id_key", F.lit(parts)).cast("int")), keys, parts
+    mine = rows.where(F.col("text_key").isin(keys)).groupBy("text_key", "id_key").agg(F.sum("size").alias("b"))
+    # More than a part's even share of one shard's bytes; at most as many as there are such shares.
+    often = mine.where(F.col("b") > total * share / PARTS).select("text_key", "id_key").collect()
+    if not often:
+        return rows.withColumn("part", F.pmod("id_key", F.lit(parts)).cast("int")), keys, parts
+    names = F.broadcast(rows.sparkSession.createDataFrame(often, "text_key long, id_key long").withColumn("often", F.lit(True)))
+    drawn = F.floor(F.rand(7) * parts).cast("int")
+    dealt = rows.join(names, ["text_key", "id_key"], "left")
+    dealt = dealt.withColumn("part", F.when(F.col("often"), drawn).otherwise(F.pmod("id_key", F.lit(parts)).cast("int")))
+    return stored(dealt.drop("often")), keys, parts
+
+
 def place(
     docs: DataFrame,
     old_shards: int = OLD_SHARDS,
@@ -78,26 +107,27 @@ def place(
     text go where the old shard with most of its bytes goes. ``capacities`` are those of
     the new shards, relative to each other, 0 for none; without them ``new_shards`` equal ones. Equal texts
     have one block and stay together, unless they alone outgrow the largest new shard's share of
-    the bytes: such a text is cut into parts by id, at most one per new shard in
-    number. The driver sees only the sizes of the blocks, whose number is fixed.
+    the bytes: such a text (there are at most as many as shards) is cut into parts by id,
+    and an id repeated very often in it by draw. The driver sees only the sizes of the
+    blocks: ``BLOCKS`` and the parts of large texts, for each old shard where these are given.
 
-    A null text has size 1 and lies with the empty ones, null ids have a part of their
-    own, repeated rows are placed each; an empty table gives no rows.
+    A null text has size 1 and lies with the empty ones, null ids count as one id,
+    repeated rows are placed each; an empty table gives no rows. Columns ``shard`` and
+    ``slot`` of the given rows give way to the new ones.
     """
     capacities = capacities or [1] * new_shards
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
     own = F.pmod(text_block(), F.lit(old_shards)) if old is None else old
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.xxhash64(text_or_empty()).alias("text_key"),
         text_block().alias("text_block"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"),
+        F.xxhash64("doc_id").alias("id_key"),
         own.cast("int").alias("old"),
     )
+    rows, keys, parts = _in_parts(rows, max(capacities) / sum(capacities))
     facts = stored(rows.groupBy("text_key", "text_block", "part", "old").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
-    total = facts.agg(F.sum("size")).first()[0] or 0
-    large = facts.groupBy("text_key").agg(F.sum("size").alias("b")).where(F.col("b") > total * max(capacities) / sum(capacities)).select("text_key")
-    keys = sorted(r[0] for r in large.collect())  # fewer than new_shards rows
     home, most = F.col("old"), 0
     if old is not None:
         most = (facts.agg(F.max("old")).first()[0] or 0) + 1
@@ -108,7 +138,7 @@ def place(
     block = F.col("text_block") if old is None else F.col("text_block") + F.coalesce(home + 1, F.lit(0)) * BLOCKS
     for number, key in enumerate(keys):
         cut = F.lit(0) if old is None else F.coalesce(F.col("old") + 1, F.lit(0))
-        start = F.lit(BLOCKS * (most + 1)) + (F.lit(number * (most + 1)) + cut) * PARTS
+        start = F.lit(BLOCKS * (most + 1)) + (F.lit(number * (most + 1)) + cut) * parts
         block = F.when(F.col("text_key") == key, start + F.col("part")).otherwise(block)
     facts, rows = facts.withColumn("block", block), rows.withColumn("block", block)
     sizes = facts.groupBy("block", "old").agg(F.sum("size").alias("b")).groupBy("block")
@@ -119,7 +149,7 @@ def place(
     pieces = facts.groupBy("block", "part").agg(F.sum("n").alias("n")).join(shards, "block")
     before = Window.partitionBy("shard").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("block", "part", "shard", "before")
-    within = Window.partitionBy("block", "part").orderBy("doc.doc_id", "text_key")
+    within = Window.partitionBy("block", "part").orderBy("doc.doc_id", "text_key", "size")
     numbered = rows.withColumn("rank", F.row_number().over(within)).join(pieces, ["block", "part"])
     return numbered.select("doc", "size", F.col("old").alias("old_shard"), "shard", (F.col("before") + F.col("rank") - 1).alias("slot"))
 
@@ -147,6 +177,6 @@ def rewrite(placed: DataFrame, path: str) -> list[int]:
     changed = moved.select(F.explode(F.array("old_shard", "shard")).alias("s")).where("s IS NOT NULL").distinct()
     numbers = sorted(r["s"] for r in changed.collect())  # as many as shards
     rows = placed.where(F.col("shard").isin(numbers))
-    kept = [F.col(f"doc.`{c}`") for c in placed.schema["doc"].dataType.names if c not in ("shard", "slot")]
+    kept = [F.col(f"doc.`{c}`") for c in placed.schema["doc"].dataType.names]
     rows.select(*kept, "shard", "slot").write.mode("error").partitionBy("shard").parquet(path)
     return numbers
