@@ -1,0 +1,221 @@
+"""License bands, pair learning, even shards, the flow, short benchmark items, and the pipeline, against brute force."""
+
+from __future__ import annotations
+
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.llm.test_operators import ITEM, SCHEMA, STORY, brute_fingerprint, rows
+from tests.oracle import SF_ROOT, compare, connect
+from tidewatch.llm import decontaminate, licenses, mixing, quality, sharding, toxicity
+from tidewatch.llm.sql import LICENSE_SQL
+
+
+def grams(text):
+    words = re.findall(r"[^\W_]+", text.lower())
+    return [" ".join(words[i : i + 5]) for i in range(len(words) - 4)]
+
+
+def test_bands_find_every_notice_at_every_alignment(spark):
+    """Each default notice whole, without its first or last words, at nine places in a text."""
+    texts = []
+    for _, notice in licenses.TEMPLATES:
+        words = notice.split(" ")
+        for shift in range(9):
+            front = " ".join(f"f{shift}x{i}" for i in range(shift))
+            texts += [f"{front} {notice} end of text", f"{front} {' '.join(words[1:])} more", f"{front} {' '.join(words[:-1])} more"]
+    found = {(r["doc_id"], r["template"]): (r["matched"], r["shingles"]) for r in licenses.scan_licenses(spark.createDataFrame(rows(*texts), SCHEMA)).collect()}
+    wanted = {}
+    for d, text in enumerate(texts):
+        mine = set(grams(text))
+        for t, (_, notice) in enumerate(licenses.TEMPLATES):
+            of = set(grams(notice))
+            if len(mine & of) >= licenses.CONTAINED * len(of):
+                wanted[d, t] = (len(mine & of), len(of))
+    assert found == wanted and {t for _, t in wanted} == set(range(len(licenses.TEMPLATES)))
+
+
+def test_torn_notices_are_found_as_often_as_the_bands_say(spark):
+    """Five shingles of which four lie in two pieces of two: J is 2 of 6 in either of two windows at least."""
+    notices, texts = [], []
+    for n in range(300):
+        w = [f"t{n}w{i}" for i in range(9)]
+        notices.append((f"L{n}", " ".join(w)))
+        texts.append(" ".join([*w[:6], "x", "y", "z", *w[3:9]]))
+    found = {(r["doc_id"], r["template"]) for r in licenses.scan_licenses(spark.createDataFrame(rows(*texts), SCHEMA), tuple(notices)).collect()}
+    assert found <= {(n, n) for n in range(300)}
+    assert len(found) >= 300 * (1 - (2 / 3) ** licenses.BANDS) * 0.95
+
+
+def test_license_rows_stand_for_themselves(spark):
+    notice = licenses.TEMPLATES[0][1].split(" ")
+    halves = [(None, " ".join(notice[:4])), (None, " ".join(notice[4:])), (7, " ".join(notice)), (7, " ".join(notice)), (8, "")]
+    found = licenses.scan_licenses(spark.createDataFrame([(i, t, 1, "x") for i, t in halves], "doc_id long, text string, template int, license string"))
+    assert [r["doc_id"] for r in found.collect()] == [7, 7]
+    assert licenses.scan_licenses(found.select("doc_id", F.lit("a").alias("text")), (("short", "one two"),)).count() == 0
+
+
+def test_license_query_agrees_with_sql(spark):
+    path = str(SF_ROOT / "sf0.001")
+    found = licenses.scan_licenses(spark.read.parquet(f"{path}/documents.parquet"))
+    assert compare(found, connect(path), LICENSE_SQL) == []
+
+
+def test_pairs_are_learned(spark):
+    """Either word alone is clean, both together are toxic: pairs part them further than linear weights."""
+    rng = random.Random(0)
+    given = []
+    for i in range(1200):
+        words = rng.sample([f"w{k}" for k in range(200)], 25)
+        words += {0: ["alpha", "beta"], 1: ["alpha"], 2: ["alpha"], 3: ["beta"], 4: ["beta"]}.get(i % 7, [])
+        given.append((i, " ".join(words), int(i % 7 == 0)))
+    learn, held = given[:900], given[900:]
+
+    def loss(model):
+        return -np.mean([np.log(max(1e-9, model.score(t) if y else 1 - model.score(t))) for _, t, y in held])
+
+    both = toxicity.FactorizationMachine().fit(learn)
+    linear = toxicity.FactorizationMachine().fit(learn, linear=99)
+    assert not linear.v.any() and both.v.any()
+    assert loss(both) < 0.5 * loss(linear)
+    assert all((both.score(t) >= 0.5) == bool(y) for _, t, y in held)
+    assert len(both.place) == 202  # no term is left out
+
+
+def test_rare_terms_take_part():
+    given = [(i, f"{STORY} common{i % 3} " + ("slur" if i % 20 == 0 else ""), int(i % 20 == 0)) for i in range(200)]
+    model = toxicity.FactorizationMachine().fit(given)
+    assert model.score(STORY + " slur") > 0.5 > model.score(STORY) and model.score("") < 0.5
+
+
+@pytest.mark.parametrize("ids", ["CAST(NULL AS BIGINT)", "7L", "id"])
+def test_shards_stay_even_whatever_the_ids(spark, ids):
+    """One text 3,000 times, without id, as one repeated row, or with ids, among 3,000 others."""
+    docs = spark.range(6000).selectExpr(f"if(id % 2 = 0, {ids}, id) AS doc_id", "if(id % 2 = 0, 'the same text', concat('t ', 10000 + id)) AS text", "'a' AS shard", "5 AS slot")
+    found = sharding.reshard(docs)
+    per = found.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("m"), F.countDistinct("slot").alias("d")).collect()
+    assert len(per) == 16 and all(r["n"] == r["m"] + 1 == r["d"] for r in per) and sum(r["n"] for r in per) == 6000
+    assert max(r["b"] for r in per) < 1.1 * min(r["b"] for r in per)
+    assert corpus_pipeline.to_shards(spark, docs, "").columns == ["doc_id", "text", "shard", "slot"]
+
+
+def test_flow_equals_the_brute_force_optimum():
+    def moved(flow):
+        return sum(n for (i, j), n in flow.items() if i != j)
+
+    for supply in itertools.product(range(4), repeat=3):
+        for cut in itertools.combinations_with_replacement(range(sum(supply) + 1), 2):
+            room = [cut[0], cut[1] - cut[0], sum(supply) - cut[1]]
+            flow = sharding.min_cost_flow(list(supply), room)
+            assert [sum(flow.get((i, j), 0) for j in range(3)) for i in range(3)] == list(supply)
+            assert [sum(flow.get((i, j), 0) for i in range(3)) for j in range(3)] == room
+            best = None
+            for a, b in itertools.product(itertools.product(range(4), repeat=3), repeat=2):
+                c = [room[j] - a[j] - b[j] for j in range(3)]
+                if sum(a) == supply[0] and sum(b) == supply[1] and min(c) >= 0:
+                    cost = supply[0] - a[0] + supply[1] - b[1] + supply[2] - c[2]
+                    best = cost if best is None else min(best, cost)
+            assert moved(flow) == best
+
+
+def test_sharding_stage_rewrites_a_given_layout(spark, tmp_path):
+    docs = spark.range(800).selectExpr("id AS doc_id", "concat('text ', 1000 + id) AS text", "CAST(id % 12 AS INT) AS now")
+    found = corpus_pipeline.to_shards(spark, docs, "", old="now", path=str(tmp_path / "new")).cache()
+    assert found.columns == ["doc_id", "text", "now", "shard", "slot"] and found.select("shard").distinct().count() == 16
+    new = spark.read.parquet(str(tmp_path / "new"))
+    moved = {r["doc_id"] for r in found.where("shard != now").collect()}
+    assert moved <= {r["doc_id"] for r in new.collect()} and len(moved) < 400
+
+
+@pytest.mark.parametrize("item", ["zebra", "two words", "three small words", "and now four words"])
+def test_items_of_under_five_words_match_exactly(spark, item):
+    texts = [STORY, f"{STORY} {item.upper()}!", item, item.replace("w", "v").replace("z", "y"), None, "", f"{item} {item}"]
+    docs = spark.createDataFrame(rows(*texts), SCHEMA)
+    benchmark = spark.createDataFrame([(1, item), (2, ITEM), (3, None), (None, item), (4, "")], "item_id long, text string")
+    found = decontaminate.benchmark_overlaps(docs, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"], r["tokens"], r["share"]) for r in found} == {(d, 1, len(item.split()), 1.0) for d in (1, 2, 6)}
+    assert decontaminate.drop_contaminated(docs, benchmark).count() == len(texts)
+
+
+def brute_overlap(text, item):
+    """Any 13 tokens (or the whole of a shorter item) with four fifths equal at the same places."""
+    a, b = (list(decontaminate.token_hashes(t)) for t in (text, item))
+    need = min(decontaminate.OVERLAP, len(b))
+    return any(
+        sum(x == y for x, y in zip(a[i : i + need], b[j : j + need])) >= decontaminate.SHARE * need
+        for i in range(len(a) - need + 1)
+        for j in range(len(b) - need + 1)
+    )
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(30)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(5, 30))] for _ in range(12)]
+    items += [["same"] * 20]
+    texts = [STORY, "same " * 500, ""]
+    for _ in range(80):
+        part = list(rng.choice(items))
+        for _ in range(rng.randint(0, 4)):
+            part[rng.randrange(len(part))] = rng.choice(vocabulary)
+        cut = rng.randint(0, len(part) // 2)
+        texts.append(" ".join([rng.choice(vocabulary) for _ in range(rng.randint(0, 20))] + part[cut:] + [rng.choice(vocabulary) for _ in range(9)]))
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame(rows(*texts), SCHEMA)
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.benchmark_overlaps(docs, benchmark).collect()}
+    # Items of 5 to 11 words that are cut match by no more than a part of themselves, which is no overlap of the whole item.
+    assert found == {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if brute_overlap(t, " ".join(item))}
+
+
+def write_tables(spark, path, docs, labels, benchmark):
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    benchmark.write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    good = [" ".join(rng.choice(STORY.split()) for _ in range(40)) + "." for _ in range(70)]
+    bad = [" ".join(rng.choice(["BUY!!!", "$$$", "CLICK", "@@@"]) for _ in range(40)) for _ in range(40)]
+    texts = [*good, *bad, good[0], good[0], good[1] + " " + ITEM, None, "", "word " * 20_000]
+    docs = spark.createDataFrame(rows(*texts) + rows(*texts)[:2], SCHEMA)
+    labels = spark.createDataFrame([(i, int(i < 70), 0) for i in range(0, 110)] + [(3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, ITEM), (2, "the quick")], "item_id long, text string")
+    path = str(tmp_path / "in")
+    write_tables(spark, path, docs, labels, benchmark)
+    model = quality.train(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
+    kept = sorted({(i, t) for i, t, *_ in rows(*texts) if model.score(t) >= 0.5}, key=lambda r: r[0])
+    assert sum(i < 70 for i, _ in kept) > 60 and sum(70 <= i < 110 for i, _ in kept) < 4
+    prints = {i: brute_fingerprint(t) for i, t in kept}
+    lead = {i: i for i in prints}
+    for _ in prints:
+        for i, j in itertools.combinations(prints, 2):
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                lead[i] = lead[j] = min(lead[i], lead[j])
+    kept = [(i, t) for i, t in kept if lead[i] == i and not brute_overlap(t or "", ITEM)]
+    clean = docs.dropDuplicates(["doc_id"]).where(F.col("doc_id").isin([i for i, _ in kept]))
+    copies = {r["doc"]["doc_id"]: r["copies"] for r in mixing.with_copies(clean).collect()}
+    found = corpus_pipeline.run(spark, path)
+    assert found.columns == [c for c in docs.columns if c != "shard"] + ["shard", "slot"]
+    counts = {r["doc_id"]: r["count"] for r in found.groupBy("doc_id").count().collect()}
+    assert counts == {i: n for i, n in copies.items() if n}
+    per = found.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert all(r["n"] == r["d"] == r["m"] + 1 for r in per)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    path = str(tmp_path / "in")
+    write_tables(
+        spark,
+        path,
+        spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"),
+        spark.createDataFrame([], "doc_id long, quality int, toxic int"),
+        spark.createDataFrame([], "item_id long, text string"),
+    )
+    assert corpus_pipeline.run(spark, path).count() == 0

@@ -20,8 +20,9 @@ SHORT_ITEM = 12
 SHORT_MASKS = ("111", "1011")
 #: An overlap counts from this many tokens on (or the whole item, if shorter), with this share of equal tokens.
 OVERLAP, SHARE = 13, 0.8
-#: Items with fewer tokens are no evidence and match nothing.
+#: Items with fewer tokens are sought as exact sequences; they are reported, but no ground for dropping a document.
 SHORTEST = 5
+WHOLE_MASKS = tuple("1" * n for n in range(1, SHORTEST))
 #: Benchmark rows taken into one pass over the corpus; larger benchmarks are passed in blocks.
 ITEMS_PER_PASS = 20_000
 #: Seed hashes are looked up only where these leading bits are those of some item's seed.
@@ -46,14 +47,21 @@ def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     return total
 
 
+def _masks_of(tokens: int) -> tuple[str, ...]:
+    """The masks by which an item of so many tokens is sought."""
+    if tokens < SHORTEST:
+        return (WHOLE_MASKS[tokens - 1],)
+    return (*MASKS, *SHORT_MASKS) if tokens < SHORT_ITEM else MASKS
+
+
 class Seeds:
     """The test side of the join: seed hashes of all items of one pass, sorted."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, t) for i, t in ((i, token_hashes(text)) for i, text in items) if len(t) >= SHORTEST]
+    def __init__(self, items: list[tuple[int, str]], shortest: int = 1):
+        self.items = [(i, t) for i, t in ((i, token_hashes(text)) for i, text in items) if len(t) >= shortest]
         self.tables = []
-        for mask in (*MASKS, *SHORT_MASKS):
-            parts = [seed_hashes(t if mask in MASKS or len(t) < SHORT_ITEM else t[:0], mask) for _, t in self.items]
+        for mask in dict.fromkeys((*MASKS, *SHORT_MASKS, *WHOLE_MASKS)):
+            parts = [seed_hashes(t if mask in _masks_of(len(t)) else t[:0], mask) for _, t in self.items]
             hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             at = np.concatenate([np.arange(len(p)) for p in parts]) if parts else owner
@@ -97,18 +105,20 @@ class Seeds:
         return start + shift + top, need, float(window[top] / need)
 
 
-def _passes(benchmark: DataFrame) -> Iterator[Seeds]:
+def _passes(benchmark: DataFrame, shortest: int = 1) -> Iterator[Seeds]:
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
     count = items.count()
     blocks = max(1, -(-2 * count // ITEMS_PER_PASS)) if count > ITEMS_PER_PASS else 1
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        yield Seeds(sorted((r["item_id"], r["text"]) for r in part.collect()))
+        yield Seeds(sorted((r["item_id"], r["text"]) for r in part.collect()), shortest)
 
 
 def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start_token, tokens, share: one row per document and item that overlap.
 
+    An overlap has at least ``OVERLAP`` tokens, or the whole of a shorter item, ``SHARE``
+    of them equal; items of under ``SHORTEST`` tokens are found where all tokens are equal.
     Null and empty texts and an empty benchmark match nothing. Repeated rows are
     searched each. The benchmark side of the join goes out in passes of a bounded
     number of items, each against all documents.
@@ -131,8 +141,11 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows without a verified overlap, with their columns; null and empty texts stay."""
-    for seeds in _passes(benchmark):
+    """The rows without a verified overlap, with their columns; null and empty texts stay.
+
+    Items of under ``SHORTEST`` tokens occur in any text and drop nothing.
+    """
+    for seeds in _passes(benchmark, SHORTEST):
         clean = F.pandas_udf(lambda texts, s=seeds: texts.map(lambda t: not s.matches(t)).astype("bool"), "boolean")
         docs = docs.where(clean(text_or_empty()))
     return docs
