@@ -72,6 +72,8 @@ class MultiIndex:
         self.codes, self.wide = codes, codes.view(np.uint64)
         self.order = [np.argsort(codes[:, j], kind="stable") for j in range(PARTS)]
         self.starts = [np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.order)]
+        # Each part's table holds the whole codes in its own order, so that a bucket is read in one piece.
+        self.tables = [[np.ascontiguousarray(w[o]) for w in self.wide.T] for o in self.order]
 
     def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, code) places of every code within the radius, each once.
@@ -86,11 +88,15 @@ class MultiIndex:
             buckets = (queries[:, j, None] ^ _MASKS[min(int(reach[j]), PART)]).astype(np.int64)
             low = self.starts[j][buckets].ravel()
             sizes = self.starts[j][buckets + 1].ravel() - low
-            q = np.repeat(np.arange(len(queries)), sizes.reshape(buckets.shape).sum(1))
+            each = sizes.reshape(buckets.shape).sum(1)
             ends = sizes.cumsum()
-            rows = self.order[j][np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - ends + sizes, sizes)]
-            near = np.bitwise_count(self.wide[rows] ^ wide[q]).sum(1) <= radius
-            q, rows = q[near], rows[near]
+            at = np.repeat(low - ends + sizes, sizes)
+            at += np.arange(len(at))
+            apart = np.zeros(len(at), np.uint8)
+            for table, own in zip(self.tables[j], wide.T):
+                apart += np.bitwise_count(table[at] ^ np.repeat(own, each))
+            near = np.flatnonzero(apart <= radius)
+            q, rows = np.searchsorted(each.cumsum(), near, "right"), self.order[j][at[near]]
             # Those that an earlier part has brought already are left out.
             fresh = ~(_WEIGHT[self.codes[rows, :j] ^ queries[q, :j]] <= reach[:j]).any(1)
             found.append((q[fresh], rows[fresh]))
