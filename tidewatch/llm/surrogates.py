@@ -12,14 +12,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A part of a name: a capital or caseless letter first, further parts after a hyphen or an apostrophe.
+_NAME = r"[^\W\d_a-z](?:[^\W\d_]+|(?=['’]))(?:['’-][^\W\d_a-z][^\W\d_]+)*"
+#: What a secret stands behind; only the value is replaced.
+_BEFORE_SECRET = r"(?i:\b(?:[\w-]*(?:api|access|secret|private)[_-]?key|token|secret|passw(?:or)?d|pwd)\b[\"']?\s*[=:]\s*[\"']?)"
 KINDS = (
+    ("secret", _BEFORE_SECRET + r"[\w+/.~=-]{8,}|\b(?:AKIA[0-9A-Z]{12,}|gh[pousr]_\w{16,}|sk-[\w-]{16,})"),
     ("email", r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[\w-]+(?:\.[\w-]+)+"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?![\d.]*\d)"),
     ("card", r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"),
     ("phone", r"(?<![\w.])\+\d{1,3} ?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,4}(?!\d)"),
     ("ssn", r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"),
-    ("name", r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? [^\W\d_a-z][^\W\d_]+(?: [^\W\d_a-z][^\W\d_]+)?"),
+    ("name", rf"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? {_NAME}(?: {_NAME})?"),
 )
+LETTERS = re.compile(r"[^\W\d_]+")
 FOUND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS))
 #: Letters change within their class, which keeps script and the sound of a name; upper case likewise.
 LOWER = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "äöü", "èêàâôù", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ", "аеёиоуыэюяіїє", "бвгґджзйклмнпрстфхцчшщ", "ъь")
@@ -148,25 +154,52 @@ def surrogate(value: str, kind: str, key: bytes) -> str:
         return country + _letters(rest, f"phone{country}", key)
     if kind == "name":
         title, *names = value.split(" ")
-        # Every name is replaced by itself, so that parts agree.
-        return " ".join([title, *[_name(n, key) for n in names]])
+        # Every part of a name is replaced by itself, so that parts agree.
+        return " ".join([title, *[LETTERS.sub(lambda m: _name(m.group(), key), n) for n in names]])
+    if kind == "secret":
+        before = re.match(_BEFORE_SECRET, value)
+        front = before.group() if before else ""
+        return front + _letters(value[len(front) :], "secret", key)
     return _letters(value, kind, key)
 
 
+def _mentions(text: str, names: dict[str, str], taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Further places of the parts of names, outside the entities that are found already."""
+    found, i = [], 0
+    for m in LETTERS.finditer(text):
+        while i < len(taken) and taken[i][1] <= m.start():
+            i += 1
+        if m.group() in names and not (i < len(taken) and taken[i][0] < m.end()):
+            found.append((m.start(), m.end(), "name", names[m.group()]))
+    return found
+
+
 def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[int, int, str, str]]]:
-    """The text with surrogates, and (start, end, kind, surrogate) of each entity in the old text."""
+    """The text with surrogates, and (start, end, kind, surrogate) of each entity in the old text.
+
+    A name that stands after a title is replaced wherever its parts stand in the text, also
+    before a possessive or a hyphen; parts of one letter and lower-case ones are not looked for.
+    """
     if text is None:
         return None, []
-    out, spans, at = [], [], 0
+    spans: list[tuple[int, int, str, str]] = []
     back: dict[tuple[str, str], str] = {}
+    names: dict[str, str] = {}
     for m in FOUND.finditer(text):
         kind, old = m.lastgroup, m.group()
         new = surrogate(old, kind, key)
         if back.setdefault((kind, new), old) != old:
             raise ValueError("two entities with one surrogate")  # the permutation excludes this
         spans.append((m.start(), m.end(), kind, new))
-        out += [text[at : m.start()], new]
-        at = m.end()
+        if kind == "name":
+            parts = zip(LETTERS.findall(old.split(" ", 1)[1]), LETTERS.findall(new.split(" ", 1)[1]))
+            names |= {a: b for a, b in parts if len(a) > 1 and not a[0].islower()}
+    if names:
+        spans = sorted(spans + _mentions(text, names, spans))
+    out, at = [], 0
+    for start, end, _, new in spans:
+        out += [text[at:start], new]
+        at = end
     return "".join([*out, text[at:]]), spans
 
 
