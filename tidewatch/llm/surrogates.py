@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hmac
+import ipaddress
 import re
 import sys
 import unicodedata
@@ -56,6 +57,20 @@ LOWER = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "äöü", "èêàâôù
 CLASSES = ("0123456789", *LOWER, *[k.upper() for k in LOWER])
 CLASS_OF = {c: k for k in CLASSES for c in k}
 
+#: Common given names by script and gender. A name of one row is replaced by another one of it.
+GIVEN_NAMES = tuple(
+    tuple(row.split())
+    for row in (
+        "Alice Amelia Anna Barbara Charlotte Clara Diana Elena Emma Eva Grace Hannah Helen Ingrid Isabel Jane Julia Karin Laura Lucia Maria Marie Martha Monika Nina Nora Olivia Paula Rosa Sofia Susan Vera",
+        "Adam Albert Andreas Anton Arthur Carlos Charles Daniel David Diego Edward Emil Felix Frank Georg Henry Hugo Jack James Jan John Jorge Karl Louis Luis Mark Martin Oscar Paul Peter Robert Thomas",
+        "Анна Вера Дарья Елена Ирина Мария Нина Ольга София Татьяна",
+        "Алексей Андрей Борис Виктор Дмитрий Иван Михаил Павел Сергей Юрий",
+        "Άννα Ελένη Ειρήνη Ζωή Κατερίνα Μαρία Σοφία Χριστίνα",
+        "Αλέξανδρος Γιώργος Δημήτρης Κώστας Νίκος Πέτρος Στέλιος Χρήστος",
+    )
+)
+ROW_OF = {name: i for i, row in enumerate(GIVEN_NAMES) for name in row}
+
 
 #: Classes of the characters met so far; a function cache could not travel to the executors.
 MET = dict(CLASS_OF)
@@ -114,9 +129,9 @@ def _shuffle(values: list[int], sizes: list[int], key: bytes, tweak: str) -> lis
     return _turns(values, sizes, key, tweak, back=True)
 
 
-def _letters(text: str, kind: str, key: bytes) -> str:
+def _letters(text: str, kind: str, key: bytes, classes: list[str] | None = None) -> str:
     """Letters and digits replaced within their class; everything else, and so the form, stays."""
-    classes = [_class_of(c) for c in text]
+    classes = classes or [_class_of(c) for c in text]
     places = [i for i, k in enumerate(classes) if k]
     if not places:
         return text
@@ -128,14 +143,39 @@ def _letters(text: str, kind: str, key: bytes) -> str:
     return "".join(out)
 
 
+def _network(octets: list[int]) -> tuple[bool, ...]:
+    """What an address is for: public, private, loopback, link-local, multicast or reserved."""
+    a = ipaddress.IPv4Address(bytes(octets))
+    return a.is_global, a.is_private, a.is_loopback, a.is_link_local, a.is_multicast, a.is_reserved
+
+
 def _octets(value: str, key: bytes) -> str:
-    """An address in the same form: octets keep their leading zeros, so that 1, 01 and 001 stay apart."""
+    """An address for the same use and in the same form.
+
+    Octets keep their leading zeros, so that 1, 01 and 001 stay apart. An address that is not
+    public keeps its first two octets. The walk goes on until it meets an address for the same use.
+    """
     parts = value.split(".")
+    old = [int(p) for p in parts]
+    use = _network(old)
+    kept = 0 if use[0] else 2
     padded = [len(p) > 1 and p[0] == "0" for p in parts]
-    sizes = [10 ** (len(p) - 1) if z else 256 for p, z in zip(parts, padded)]
-    form = ".".join(str(len(p)) if z else "" for p, z in zip(parts, padded))
-    moved = _shuffle([int(p) for p in parts], sizes, key, f"ip|{form}")
-    return ".".join(str(v).zfill(len(p)) if z else str(v) for p, z, v in zip(parts, padded, moved))
+    sizes = [10 ** (len(p) - 1) if z else 256 for p, z in zip(parts, padded)][kept:]
+    form = ".".join([*parts[:kept], *[str(len(p)) if z else "" for p, z in zip(parts[kept:], padded[kept:])]])
+    moved = old
+    while True:
+        moved = old[:kept] + _shuffle(moved[kept:], sizes, key, f"ip|{form}")
+        if moved == old or _network(moved) == use:
+            return ".".join(str(v).zfill(len(p)) if z else str(v) for p, z, v in zip(parts, padded, moved))
+
+
+def _phone(rest: str, country: str, key: bytes) -> str:
+    """The number after the country code: the first digit of each group stays 0, 1 or neither, as in area codes."""
+    classes = [_class_of(c) for c in rest]
+    for i, c in enumerate(rest):
+        if c in "0123456789" and (i == 0 or not rest[i - 1].isdigit()):
+            classes[i] = c if c in "01" else "23456789"
+    return _letters(rest, f"phone{country}", key, classes)
 
 
 def _luhn(digits: str) -> int:
@@ -145,10 +185,21 @@ def _luhn(digits: str) -> int:
 
 
 def _name(name: str, key: bytes) -> str:
-    """Title and last letter carry the gender; scripts without case have no such letter."""
-    if unicodedata.category(name[-1]) in ("Lu", "Ll", "Lt"):
-        return _letters(name[:-1], f"name{name[-1]}", key) + name[-1]
-    return _letters(name, "name", key)
+    """A part of a name: a common given name becomes another one of its script and gender.
+
+    Other parts change letter by letter and never into a common given name; of these the title and the
+    last letter carry the gender. Scripts without case have no such letter.
+    """
+    if name in ROW_OF:
+        row = GIVEN_NAMES[ROW_OF[name]]
+        order = sorted(row, key=lambda n: hmac.digest(key, f"given|{n}".encode(), "sha256"))
+        return order[(order.index(name) + 1) % len(order)]
+    last = name[-1] if unicodedata.category(name[-1]) in ("Lu", "Ll", "Lt") else ""
+    new = name
+    while True:
+        new = _letters(new[: len(new) - len(last)], f"name{last}", key) + last
+        if new not in ROW_OF:
+            return new
 
 
 def surrogate(value: str, kind: str, key: bytes) -> str:
@@ -165,7 +216,9 @@ def surrogate(value: str, kind: str, key: bytes) -> str:
         digits = re.sub(r"\D", "", value)
         if _luhn(digits[:-1]) == int(digits[-1]):
             at = [i for i, c in enumerate(value) if c.isdigit()][-1]
-            front = _letters(value[:at], "card", key)
+            # The first four digits name the issuer.
+            start = [i for i, c in enumerate(value) if c.isdigit()][4]
+            front = value[:start] + _letters(value[start:at], f"card{value[:start]}", key)
             return front + _class_of(value[at])[_luhn(re.sub(r"\D", "", front))]
         # Numbers without a valid check digit stay without one: the next of the walk is taken.
         while True:
@@ -175,7 +228,7 @@ def surrogate(value: str, kind: str, key: bytes) -> str:
                 return value
     if kind == "phone":
         country, rest = re.match(r"(\+\d{1,3})(.*)", value, re.S).groups()
-        return country + _letters(rest, f"phone{country}", key)
+        return country + _phone(rest, country, key)
     if kind == "name":
         title, *names = value.split(" ")
         # Every part of a name is replaced by itself, so that parts agree.
