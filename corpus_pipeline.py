@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import decontaminate, mixing, quality, sharding, simhash
-from tidewatch.llm.common import stored, table
+from tidewatch.llm.common import remove, stored, table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The result of the last stage; of the folders written on the way only its own stays."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        with written() as folders:
+            docs = stored(stage(spark, docs, sf_dir))
+        remove(spark, before + folders[:-1])
+        before = folders[-1:]
     return docs

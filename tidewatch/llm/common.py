@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WATCHED: list[list[str]] = []
+
+
+@contextmanager
+def written() -> Iterator[list[str]]:
+    """The folders that ``stored`` writes meanwhile, in their order."""
+    folders: list[str] = []
+    _WATCHED.append(folders)
+    try:
+        yield folders
+    finally:
+        _WATCHED[:] = [f for f in _WATCHED if f is not folders]
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders of ``stored`` that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(rows: DataFrame) -> DataFrame:
     """The rows written to a new folder in the shared place and read again.
 
@@ -25,6 +48,8 @@ def stored(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     rows.write.parquet(path)
+    for folders in _WATCHED:
+        folders.append(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
