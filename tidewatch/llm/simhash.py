@@ -231,16 +231,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of identical rows one stays. Rows without id stay only where no row of their class has one.
     """
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    tagged = with_fingerprint(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row.alias("row"), F.col("doc_id").alias("id"), "text"), "fp")
-    prints = stored(tagged.select("fp", "row", F.col("id").alias("doc_id")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # Two hashes name the row, so that texts are fingerprinted once and only rows of one class are compared by them.
+    tagged = docs.select(
+        F.struct(*columns).alias("doc"), F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(0), *columns).alias("b")).alias("row"), F.col("doc_id").alias("id"), "text"
+    )
+    prints = stored(with_fingerprint(tagged, "fp").select("fp", "row", F.col("id").alias("doc_id")))
     groups = classes(prints).select("fp", "salt", "root")
     best = (
         prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
         .join(groups, ["fp", "salt"])
         .groupBy("root")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "fp")).alias("best"))
-        .select(F.col("best.row").alias("row"), F.col("best.fp").alias("fp"), F.col("best.doc_id").alias("best_id"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+        .select(F.col("best.row").alias("row"), F.col("best.doc_id").alias("best_id"))
     )
-    kept = tagged.join(best, ["fp", "row"]).where(F.col("id").eqNullSafe(F.col("best_id")))
-    return kept.dropDuplicates(["fp", "row"]).select("doc.*")
+    kept = tagged.drop("text").join(best, "row").where(F.col("id").eqNullSafe(F.col("best_id")))
+    return kept.dropDuplicates(["row"]).select("doc.*")
