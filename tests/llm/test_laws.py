@@ -14,6 +14,7 @@ import corpus_pipeline
 from tests.llm.test_operators import ITEM, SCHEMA, STORY, brute_fingerprint, rows
 from tests.oracle import SF_ROOT, compare, connect
 from tidewatch.llm import decontaminate, licenses, mixing, quality, sharding, toxicity
+from tidewatch.llm.common import remove, stored, written
 from tidewatch.llm.sql import LICENSE_SQL
 
 
@@ -219,3 +220,14 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
         spark.createDataFrame([], "item_id long, text string"),
     )
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_spent_folders_are_removed(spark):
+    with written() as outer, written() as folders:
+        first, second = stored(spark.range(3)), stored(spark.range(5))
+    stored(spark.range(1))
+    assert len(folders) == 2 and outer == folders
+    remove(spark, folders[:1])
+    assert second.count() == 5 and spark.read.parquet(folders[1]).count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(folders[0])
