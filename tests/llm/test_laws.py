@@ -174,6 +174,28 @@ def test_overlaps_equal_brute_force(spark):
     assert found == {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if brute_overlap(t, " ".join(item))}
 
 
+@pytest.mark.parametrize("before", [0, 100, 115, 121, 128, 250, 3000])
+def test_overlaps_across_pieces(spark, before):
+    long_item = [f"i{n}" for n in range(400)]
+    part = long_item[before % 300 : before % 300 + decontaminate.OVERLAP]
+    part[3] = part[8] = "other"
+    text = " ".join([f"t{n}" for n in range(before)] + part + [f"u{n}" for n in range(200)])
+    docs = spark.createDataFrame(rows(text, text, STORY) + rows(text)[:1], SCHEMA)
+    benchmark = spark.createDataFrame([(5, " ".join(long_item))] * 2 + [(5, "not in any text")], "item_id long, text string")
+    found = sorted(tuple(r) for r in decontaminate.benchmark_overlaps(docs, benchmark).collect())
+    assert found == [(d, 5, before, 13, 11 / 13) for d in (0, 0, 1)]
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, benchmark).collect()] == [2]
+
+
+def test_a_full_sieve_changes_no_result(spark, monkeypatch):
+    docs = spark.createDataFrame(rows(f"so {ITEM} it is", STORY, "and now " + ITEM.replace("zeta", "other")), SCHEMA)
+    benchmark = spark.createDataFrame([(1, ITEM)] + [(i, " ".join(f"{i}w{n}" for n in range(40))) for i in range(2, 60)], "item_id long, text string")
+    found = [sorted(map(tuple, decontaminate.benchmark_overlaps(docs, benchmark).collect()))]
+    monkeypatch.setattr(decontaminate, "SIEVE_BITS", 6)
+    found.append(sorted(map(tuple, decontaminate.benchmark_overlaps(docs, benchmark).collect())))
+    assert found[0] == found[1] and [(r[0], r[1]) for r in found[0]] == [(0, 1), (2, 1)]
+
+
 def write_tables(spark, path, docs, labels, benchmark):
     docs.write.parquet(f"{path}/documents.parquet")
     labels.write.parquet(f"{path}/labels.parquet")

@@ -85,11 +85,13 @@ def test_decontamination_finds_substitutions(spark, odd, none):
 @pytest.mark.parametrize("size", [5, 6, 8, 10, 11, 12, 13, 18])
 def test_masks_miss_no_substitutions(size):
     item = [f"w{i}" for i in range(size)]
-    seeds = decontaminate.Seeds([(1, " ".join(item))])
+    masks = (*decontaminate.MASKS, *(decontaminate.SHORT_MASKS if size < decontaminate.SHORT_ITEM else ()))
+    (sought,) = decontaminate.pieces(decontaminate.token_hashes(" ".join(item)), masks)
     need = min(size, decontaminate.OVERLAP)
     for changed in combinations(range(need), need // 5):
         words = ["other" if i in changed else w for i, w in enumerate(item[:need])]
-        assert [m[0] for m in seeds.matches(f"x y {' '.join(words)} z")] == [1]
+        (own,) = decontaminate.pieces(decontaminate.token_hashes(f"x y {' '.join(words)} z"), masks)
+        assert decontaminate.best_overlap(own, sought, size) == (2, need, (need - need // 5) / need)
 
 
 def test_mix_nears_targets(spark, odd, none):
