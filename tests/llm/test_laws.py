@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -187,6 +188,37 @@ def test_overlaps_across_pieces(spark, before):
     assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, benchmark).collect()] == [2]
 
 
+def test_texts_are_hashed_together(monkeypatch):
+    rng, calls, plain = random.Random(7), [], decontaminate.seed_hashes
+    texts = [None, "", *(" ".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 4, 12, 130, 300]))) for _ in range(200)), "a", ""]
+    monkeypatch.setattr(decontaminate, "seed_hashes", lambda tokens, mask: calls.append(mask) or plain(tokens, mask))
+    masks = (*decontaminate.WHOLE_MASKS, *decontaminate.MASKS, *decontaminate.SHORT_MASKS)
+    as_lists = lambda p: {k: v if k == "start" else v.tolist() for k, v in p.items()}
+    for keep in (None, lambda hashes: np.flatnonzero(hashes % np.uint64(5) == 0)):
+        calls.clear()
+        (group,) = decontaminate._groups(texts)
+        found = [(i, as_lists(p)) for i, p in decontaminate.pieces_of_all(group, masks, keep)]
+        # Once a mask for all the texts, not for each.
+        assert calls == list(masks)
+        assert found == [(i, as_lists(p)) for i, t in enumerate(texts) for p in decontaminate.pieces(decontaminate.token_hashes(t), masks, keep)]
+
+
+def test_groups_hold_every_text_once(monkeypatch):
+    texts = ["one two three", None, "", "four", " ".join(f"w{n}," for n in range(50)), "last"]
+    monkeypatch.setattr(decontaminate, "GROUP", 4)
+    groups = list(decontaminate._groups(texts))
+    assert len(groups) > 2 and all(sum(map(len, g[:-1])) < 4 for g in groups if g)
+    plain = [[xxhash.xxh64_intdigest(w.strip(",").encode()) for w in (t or "").split()] for t in texts]
+    assert [t.tolist() for g in groups for t in g] == plain
+
+
+def test_no_overlap_of_two_neighbouring_texts(spark):
+    words = ITEM.split()
+    docs = spark.createDataFrame(rows(" ".join(words[:8]), " ".join(words[8:]), "", ITEM), SCHEMA).coalesce(1)
+    benchmark = spark.createDataFrame([(1, ITEM), (2, " ".join(words[6:10]))], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.benchmark_overlaps(docs, benchmark).collect()) == [(3, 1), (3, 2)]
+
+
 def test_a_full_sieve_changes_no_result(spark, monkeypatch):
     docs = spark.createDataFrame(rows(f"so {ITEM} it is", STORY, "and now " + ITEM.replace("zeta", "other")), SCHEMA)
     benchmark = spark.createDataFrame([(1, ITEM)] + [(i, " ".join(f"{i}w{n}" for n in range(40))) for i in range(2, 60)], "item_id long, text string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -28,12 +29,19 @@ WHOLE_MASKS = tuple("1" * n for n in range(1, SHORTEST))
 PIECE = 128
 #: The filter of seed hashes has at most two to this power bits.
 SIEVE_BITS = 27
+#: Texts are hashed together up to about this many tokens: few calls, and arrays that stay in the processor's cache.
+GROUP = 1 << 15
+EDGES = ".,;:!?\"'()[]|*#$%&"
 
 
 def token_hashes(text: str | None) -> np.ndarray:
     """One hash per token of letters: case and edge punctuation do not count."""
     words = (text or "").lower().split()
-    return np.fromiter((xxhash.xxh64_intdigest(w.strip(".,;:!?\"'()[]|*#$%&").encode("utf-8")) for w in words), np.uint64, len(words))
+    digests = map(xxhash.xxh64_digest, map(str.strip, words, repeat(EDGES)))
+    tokens = np.empty(len(words), np.uint64)
+    for i in range(0, len(words), GROUP):
+        tokens[i : i + GROUP] = np.frombuffer(b"".join(islice(digests, GROUP)), ">u8")
+    return tokens
 
 
 def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
@@ -43,7 +51,8 @@ def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     total = np.full(n, int(mask, 2), np.uint64)
     for i, bit in enumerate(mask):
         if bit == "1":
-            total = (total ^ tokens[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            total ^= tokens[i : i + n]
+            total *= np.uint64(0x9E3779B97F4A7C15)
             total ^= total >> np.uint64(29)
     return total
 
@@ -56,30 +65,54 @@ def _masks_of(tokens: int) -> tuple[str, ...]:
 
 
 def pieces(tokens: np.ndarray, masks: Iterable[str], keep: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[dict]:
-    """The seeds of a token sequence, in pieces of ``PIECE`` positions.
+    """The pieces of one token sequence."""
+    return (p for _, p in pieces_of_all([tokens], masks, keep))
+
+
+def pieces_of_all(
+    texts: list[np.ndarray], masks: Iterable[str], keep: Callable[[np.ndarray], np.ndarray] | None = None
+) -> Iterator[tuple[int, dict]]:
+    """The seeds of token sequences, in pieces of ``PIECE`` positions, each with the index of its sequence.
 
     A piece has the hashes of the seeds that start in it, their places, and the tokens
     from ``OVERLAP`` before it to ``OVERLAP`` after it: every overlap around one of its
     seeds lies among them. ``keep`` picks seeds; pieces without a seed are left out.
+    The sequences are hashed as one; seeds that reach from one into the next are dropped.
     """
-    found, places = [], []
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    tokens = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+    found, spots = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for mask in masks:
         own = seed_hashes(tokens, mask)
         at = np.arange(len(own)) if keep is None else keep(own)
+        at = at[at + len(mask) <= ends[np.searchsorted(ends, at, "right")]]
         found.append(own[at])
-        places.append(at)
-    if not found:
+        spots.append(at)
+    found, spots = np.concatenate(found), np.concatenate(spots)
+    if not len(found):
         return
-    found, places = np.concatenate(found), np.concatenate(places)
-    order = np.argsort(places, kind="stable")
-    found, places = found[order], places[order]
-    cuts = np.flatnonzero(np.diff(places // PIECE)) + 1
-    for h, p in zip(np.split(found, cuts), np.split(places, cuts)):
-        if len(p):
-            first = int(p[0]) // PIECE * PIECE
-            start = max(0, first - OVERLAP)
-            around = tokens[start : first + PIECE + OVERLAP]
-            yield {"start": start, "around": around.view(np.int64), "hashes": h.view(np.int64), "places": p.astype(np.int32)}
+    order = np.argsort(spots, kind="stable")
+    found, spots = found[order], spots[order]
+    owners = np.searchsorted(ends, spots, "right")
+    places = spots - np.r_[0, ends][owners]
+    cuts = np.flatnonzero((np.diff(owners) != 0) | (np.diff(places // PIECE) != 0)) + 1
+    for owner, h, p in zip(owners[np.r_[0, cuts]], np.split(found, cuts), np.split(places, cuts)):
+        first = int(p[0]) // PIECE * PIECE
+        start = max(0, first - OVERLAP)
+        around = texts[owner][start : first + PIECE + OVERLAP]
+        yield int(owner), {"start": start, "around": around.view(np.int64), "hashes": h.view(np.int64), "places": p.astype(np.int32)}
+
+
+def _groups(texts: Iterable[str]) -> Iterator[list[np.ndarray]]:
+    """The token hashes of texts in their order, in lists of ``GROUP`` tokens or little more than a text beyond."""
+    group, size = [], 0
+    for text in texts:
+        group.append(token_hashes(text))
+        size += len(group[-1])
+        if size >= GROUP:
+            yield group
+            group, size = [], 0
+    yield group
 
 
 def best_overlap(text: dict, item: dict, item_tokens: int) -> tuple[int, int, float] | None:
@@ -153,10 +186,16 @@ def _fields(bits: int) -> tuple[int, ...]:
 
 def _passing(hashes: np.ndarray, sieve: np.ndarray, bits: int) -> np.ndarray:
     """Positions of the hashes that the sieve lets through."""
-    kept = np.arange(len(hashes))
+    kept = None
     for shift in _fields(bits):
-        spot = (hashes[kept] >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
-        kept = kept[(sieve[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) == 1]
+        spot = (hashes if kept is None else hashes[kept]) >> np.uint64(shift)
+        spot &= np.uint64((1 << bits) - 1)
+        word = sieve[(spot >> np.uint64(6)).view(np.int64)]
+        spot &= np.uint64(63)
+        word >>= spot
+        word &= np.uint64(1)
+        passed = np.flatnonzero(word)
+        kept = passed if kept is None else kept[passed]
     return kept
 
 
@@ -174,10 +213,14 @@ def _text_pieces(docs: DataFrame, items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep = lambda hashes: _passing(hashes, sieve.value, bits)
         for b in batches:
-            out = []
-            for doc, key, text in zip(b["doc_id"].astype("Int64"), b["text_key"], b["text"]):
-                found = pieces(token_hashes(text), masks, keep)
-                out += [(doc, key, i == 0, *p.values()) for i, p in enumerate(found)]
+            out, first = [], 0
+            ids, keys = b["doc_id"].astype("Int64").array, b["text_key"].array
+            for group in _groups(b["text"]):
+                last = -1
+                for i, p in pieces_of_all(group, masks, keep):
+                    out.append((ids[first + i], keys[first + i], i != last, *p.values()))
+                    last = i
+                first += len(group)
             frame = pd.DataFrame(out, columns=["doc_id", "text_key", "leads", "start", "around", "hashes", "places"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
